@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from geolith.llm.common import table
 from geolith.llm.simhash import simhash
+from geolith.llm.suffix import suffix_dedup
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
