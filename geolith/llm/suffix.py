@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geolith.llm.common import session
+from geolith.llm.common import cut, session
 
 GRAM, SYMBOL = 32, 50
 #: A text is scanned in pieces of so many windows, and short texts together up to so many bytes.
@@ -39,6 +39,7 @@ PIECE, GATHER = 1 << 22, 1 << 18
 BLOCK, SHARDS = 4 << 20, 8
 
 _RANDOM = np.random.default_rng(20240501).integers(0, 1 << 64, 256, dtype=np.uint64)
+_ODD = np.random.default_rng(20240502).integers(0, 1 << 64, 32, dtype=np.uint64) | np.uint64(1)
 _POS = np.uint64(0xFFFFFF)
 
 
@@ -50,12 +51,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _grams(data: np.ndarray, sizes: tuple[int, ...]) -> dict[int, np.ndarray]:
-    """Hashes of the grams of each size at each position; sizes are sums of powers of two."""
+    """Hashes of the grams of each size at each position: sums of random words for the bytes, each times
+    an odd number for its place, mixed at the end."""
     top = max(1 << (s.bit_length() - 1) for s in sizes)
     powers, n = {1: _RANDOM[data]}, 1
     while n < top and len(data) >= 2 * n:
         x = powers[n]
-        powers[2 * n] = _mix(x[:-n] * np.uint64(0xD6E8FEB86659FD93) + x[n:])
+        powers[2 * n] = x[:-n] * _ODD[n.bit_length()] + x[n:]
         n *= 2
     out = {}
     for s in sizes:
@@ -64,11 +66,12 @@ def _grams(data: np.ndarray, sizes: tuple[int, ...]) -> dict[int, np.ndarray]:
         if m <= 0:
             out[s] = np.zeros(0, np.uint64)
             continue
-        h = powers[parts[0]][:m]
+        h = powers[parts[0]][:m].copy()
         for a, b in zip(parts, parts[1:]):
             at += a
-            h = _mix(h * np.uint64(0xA24BAED4963EE407) + powers[b][at : at + m])
-        out[s] = h
+            h *= _ODD[16 + b.bit_length()]
+            h += powers[b][at : at + m]
+        out[s] = _mix(h)
     return out
 
 
@@ -116,68 +119,65 @@ def _runs(pieces: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray
     return np.array([p[0] for p in pieces])[owner], grams[GRAM][pos[a]].view(np.int64), context.view(np.int64), start.astype(np.int32), n.astype(np.int32)
 
 
-def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order that brings equal keys together, and where each group begins."""
-    order = np.lexsort(keys)
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for k in keys:
-        new[1:] |= k[order][1:] != k[order][:-1]
-    return order, np.flatnonzero(new)
-
-
 def _count(length: int):
-    """(text) -> (h, c, n): contexts, added up within a batch."""
+    """(text, dk) -> (h, c, dk): the contexts."""
 
     def run(batches):
         for b in batches:
-            got = list(_anchors(b.column(0).to_pylist(), length))
-            if got:
-                h, c = (np.concatenate([g[k] for g in got]) for k in (1, 2))
-                order, first = _groups(c, h)
-                n = np.diff(np.append(first, len(order)))
-                yield pa.RecordBatch.from_arrays([pa.array(h[order][first]), pa.array(c[order][first]), pa.array(n)], ["h", "c", "n"])
+            for row, h, c, _, _ in _anchors(b.column(0).to_pylist(), length):
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), b.column(1).take(pa.array(row))], ["h", "c", "dk"])
 
     return run
 
 
 def _occurrences(length: int):
-    """(did, th, text) -> (h, c, did, th, offs, wins): where each context is, one row for a text and context."""
+    """(text, did, th) -> (h, c, did, th, offs, wins): where each context is, one row for a text and context."""
 
     def run(batches):
         for b in batches:
-            for row, h, c, start, n in _anchors(b.column(2).to_pylist(), length):
-                order, first = _groups(start, c, h, row)[0], None
-                row, h, c, start, n = (x[order] for x in (row, h, c, start, n))
-                first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])))
-                offs = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(start))
+            for got in _anchors(b.column(0).to_pylist(), length):
+                order = np.lexsort((got[3], got[2], got[1], got[0]))
+                row, h, c, start, n = (x[order] for x in got)
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+                first = np.flatnonzero(new)
+                ends = np.append(first, len(row)).astype(np.int32) * 4
+                offs = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(start))])
                 owner = pa.array(row[first])
-                yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(c[first]), b.column(0).take(owner), b.column(1).take(owner), offs, pa.array(n[first])], ["h", "c", "did", "th", "offs", "wins"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(c[first]), b.column(1).take(owner), b.column(2).take(owner), offs, pa.array(n[first])], ["h", "c", "did", "th", "offs", "wins"])
 
     return run
 
 
-def _contexts(length: int):
-    """(did, th, text, picks) -> one row for a picked context, with its bytes."""
+def _contexts(length: int, hot: bool):
+    """(did, th, text, rest, found) -> a row for each context that its text stands for, with its bytes: those of hot anchors or the others."""
 
     def run(batches):
         for b in batches:
-            texts, picks = b.column(2), b.column(3)
-            picked = picks.flatten()
-            owner = np.repeat(np.arange(b.num_rows), np.diff(picks.offsets.to_numpy()))
-            off, wins = (picked.field(k).to_numpy(zero_copy_only=False) for k in ("off", "wins"))
-            data, held, at = texts.to_pylist(), [], 0
-            for k, (o, s, w) in enumerate(zip(owner.tolist(), off.tolist(), wins.tolist())):
-                held.append(data[o][s : s + w + length - 1])
-                if len(held) == 20000 or k == len(owner) - 1:
-                    rows = slice(at, k + 1)
-                    who = pa.array(owner[rows])
-                    yield pa.RecordBatch.from_arrays([*(picked.field(x).slice(at, k + 1 - at) for x in ("h", "n", "hot")), b.column(0).take(who), b.column(1).take(who), pa.array(off[rows]), pa.array(held, pa.binary())], ["h", "n", "hot", "did", "th", "off", "bytes"])
-                    held, at = [], k + 1
+            held = []
+            for did, th, text, found in zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 4))):
+                for f in found:
+                    if f["h"] is not None and f["hot"] == hot:
+                        off = int.from_bytes(f["offs"][:4], "little")
+                        held.append((f["h"], not f["whole"], did, th, off, text[off : off + f["wins"] + length - 1]))
+                if len(held) > 20000:
+                    yield _table(held, _CONTEXT)
+                    held = []
+            if held:
+                yield _table(held, _CONTEXT)
 
     return run
 
 
+_CONTEXT = {"h": pa.int64(), "single": pa.bool_(), "did": pa.int64(), "th": pa.int32(), "off": pa.int32(), "bytes": pa.binary()}
+_FOUND = {"did": pa.int64(), "th": pa.int32(), "offs": pa.binary(), "wins": pa.int32()}
+
+
+def _table(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [[] for _ in types]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types.values())], list(types))
+
+
 def merge_transforms(symbols: np.ndarray, nxt: np.ndarray, shard: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Merge the transforms of shards of symbol strings.
 
@@ -270,19 +270,16 @@ def _repeats(texts: list[bytes], length: int) -> list[np.ndarray]:
 
 
 def _merge(length: int):
-    """(h, n, did, th, off, bytes) in order of h -> (did, th, offs, wins): repeated windows of contexts that occur once."""
+    """Contexts in order of h -> (did, th, offs, wins): repeated windows of the contexts that occur once."""
 
     def solve(rows: list[tuple]):
-        found = _repeats([r[5] for r in rows], length)
         out = []
-        for (_, n, did, th, off, _), at in zip(rows, found):
-            if n == 1 and len(at):
+        for (_, single, did, th, off, _), at in zip(rows, _repeats([r[5] for r in rows], length)):
+            if single and len(at):
                 cut = np.flatnonzero(np.diff(at, prepend=-9) != 1)
                 for a, b in zip(cut, np.append(cut[1:], len(at))):
-                    out.append((did, th, [off + int(at[a])], int(b - a)))
-        cols = list(zip(*out)) or [[], [], [], []]
-        types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["did", "th", "offs", "wins"])
+                    out.append((did, th, (off + int(at[a])).to_bytes(4, "little"), int(b - a)))
+        return _table(out, _FOUND)
 
     def run(batches):
         rows, held = [], 0
@@ -300,31 +297,33 @@ def _merge(length: int):
 
 
 def _windows(length: int):
-    """(h, n, did, th, off, bytes) -> a row for each window, with its hash."""
+    """Contexts -> a row for each window, with its hash."""
 
     def run(batches):
         for b in batches:
-            for r in zip(*(b.column(k).to_pylist() for k in range(6))):
-                w = _grams(np.frombuffer(r[5], np.uint8), (length,))[length].view(np.int64)
-                full = [pa.array(np.full(len(w), x, np.int64)) for x in r[:4]]
-                yield pa.RecordBatch.from_arrays([*full, pa.array((r[4] + np.arange(len(w))).astype(np.int32)), pa.array(w)], ["h", "n", "did", "th", "off", "w"])
+            for h, single, did, th, off, data in zip(*(b.column(k).to_pylist() for k in range(6))):
+                w = _grams(np.frombuffer(data, np.uint8), (length,))[length].view(np.int64)
+                at = (off + np.arange(len(w), dtype=np.int32)).astype("<i4").tobytes()
+                cols = [pa.array([x] * len(w), t) for x, t in zip((h, single, did, th), _CONTEXT.values())]
+                offs = pa.array([at[k : k + 4] for k in range(0, len(at), 4)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*cols, offs, pa.array(w)], ["h", "single", "did", "th", "offs", "w"])
 
     return run
 
 
 def _removal(length: int, with_text: bool):
-    """(rest, text, found) -> rest and what is removed."""
+    """(rest, text, found, more) -> rest and what is removed."""
 
     def run(batches):
         for b in batches:
             stats, kept = [], []
-            for text, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                text = text or b""
-                left, runs = text, 0
+            for text, found, more in zip(*(b.column(k).to_pylist() for k in (1, 2, 3))):
+                text, left, runs = text or b"", text or b"", 0
+                found = [f for f in found or () if f["whole"]] + (more or [])
                 if found:
                     change = np.zeros(len(text) + 1, np.int64)
                     for offs, wins in ((f["offs"], f["wins"]) for f in found):
-                        at = np.array(offs)
+                        at = np.frombuffer(offs, "<i4")
                         np.add.at(change, at, 1)
                         np.add.at(change, at + wins + length - 1, -1)
                     gone = np.cumsum(change[:-1]) > 0
@@ -354,30 +353,32 @@ def repeated_passages(docs: DataFrame, length: int = 200, max_contexts: int = 20
     if length % SYMBOL or length < 2 * SYMBOL:
         raise ValueError(f"length must be a multiple of {SYMBOL}, at least {2 * SYMBOL}")
     session(docs.sparkSession)
-    rest = [c for c in docs.columns if c != "text"]
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("did"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"), F.struct(*rest).alias("rest"))
-    texts = base.select("did", "th", "text")
-
-    contexts = texts.select("text").mapInArrow(_count(length), "h long, c long, n long").groupBy("h", "c").agg(F.sum("n").alias("n"))
-    anchors = contexts.groupBy("h").agg(F.count("*").alias("nd"), F.sum("n").alias("total")).where("total > 1").select("h", "nd")
-    known = contexts.join(anchors, "h").select("h", "c", "n", "nd")
-    places = texts.mapInArrow(_occurrences(length), "h long, c long, did long, th long, offs array<int>, wins int").join(known.hint("shuffle_hash"), ["h", "c"])
-
-    whole = places.where("n > 1").select("did", "th", "offs", "wins")
-    one = places.where("nd > 1").groupBy(F.struct("h", "c").alias("k")).agg(F.min(F.struct("did", "th", F.col("offs")[0].alias("off"), "wins", "n", "nd")).alias("s"))
-    picks = one.select("s.did", "s.th", F.struct(F.col("k.h").alias("h"), F.col("s.n").alias("n"), (F.col("s.nd") > max_contexts).alias("hot"), F.col("s.off").alias("off"), F.col("s.wins").alias("wins")).alias("p"))
-    picks = picks.groupBy("did", "th").agg(F.collect_list("p").alias("picks"))
-    cut_out = texts.join(picks.hint("shuffle_hash"), ["did", "th"]).select("did", "th", "text", "picks")
-    cut_out = cut_out.mapInArrow(_contexts(length), "h long, n long, hot boolean, did long, th long, off int, bytes binary")
-    columns = ["h", "n", "did", "th", "off", "bytes"]
-    parts = [whole]
-    parts.append(cut_out.where("not hot").select(columns).repartition("h").sortWithinPartitions("h").mapInArrow(_merge(length), "did long, th long, offs array<int>, wins int"))
-    windows = cut_out.where("hot").select(columns).mapInArrow(_windows(length), "h long, n long, did long, th long, off int, w long")
-    again = windows.groupBy("h", "w").agg(F.count("*").alias("times")).where("times > 1").select("h", "w")
-    parts.append(windows.where("n = 1").join(again, ["h", "w"]).select("did", "th", F.array("off").alias("offs"), F.lit(1).alias("wins")))
-    found = parts[0].union(parts[1]).union(parts[2]).groupBy("did", "th").agg(F.collect_list(F.struct("offs", "wins")).alias("found"))
-
-    out = base.join(found.hint("shuffle_hash"), ["did", "th"], "left").select("rest", "text", "found")
+    rest = F.struct(*[c for c in docs.columns if c != "text"])
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("did"), F.hash("text").alias("th"), F.col("text").cast("binary").alias("text"), rest.alias("rest"))
+    owner = F.hash("did", "th")  # of a context's texts, the one with the least such number stands for it
+
+    contexts = base.select("text", owner.alias("dk")).mapInArrow(_count(length), "h long, c long, dk int")
+    contexts = contexts.groupBy("h", "c").agg(F.count("*").alias("n"), F.min("dk").alias("dk"))
+    anchors = contexts.groupBy("h").agg(F.count("*").alias("nd"), F.sum("n").alias("total")).where("total > 1")
+    known = cut(contexts.join(anchors, "h").select("h", "c", "dk", (F.col("n") > 1).alias("whole"), "nd"))
+
+    places = base.select("text", "did", "th").mapInArrow(_occurrences(length), "h long, c long, did long, th int, offs binary, wins int")
+    places = places.join(known.hint("shuffle_hash"), ["h", "c"])
+    stands = (F.col("nd") > 1) & (F.col("dk") == owner)
+    place = F.struct("offs", "wins", "whole", F.when(stands, F.col("h")).alias("h"), (F.col("nd") > max_contexts).alias("hot"))
+    places = places.select("did", "th", place.alias("p")).groupBy("did", "th").agg(F.collect_list("p").alias("found"))
+    texts = base.join(places.hint("shuffle_hash"), ["did", "th"], "left").select("did", "th", "text", "rest", "found")
+
+    names = "h long, single boolean, did long, th int, off int, bytes binary"
+    chosen = texts.where("found is not null and exists(found, p -> p.h is not null)")
+    parts = [chosen.mapInArrow(_contexts(length, False), names).repartition("h").sortWithinPartitions("h").mapInArrow(_merge(length), "did long, th int, offs binary, wins int")]
+    if known.where(F.col("nd") > max_contexts).limit(1).count():
+        windows = chosen.mapInArrow(_contexts(length, True), names).mapInArrow(_windows(length), "h long, single boolean, did long, th int, offs binary, w long")
+        again = windows.groupBy("h", "w").agg(F.count("*").alias("times")).where("times > 1").select("h", "w")
+        parts.append(windows.where("single").join(again, ["h", "w"]).select("did", "th", "offs", F.lit(1).alias("wins")))
+    more = parts[0].union(parts[-1]) if len(parts) > 1 else parts[0]
+    more = more.groupBy("did", "th").agg(F.collect_list(F.struct("offs", "wins")).alias("more"))
+    out = texts.join(more.hint("shuffle_hash"), ["did", "th"], "left").select("rest", "text", "found", "more")
     kind = out.schema["rest"].dataType.simpleString()
     return out.mapInArrow(_removal(length, with_text), f"rest {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
 
