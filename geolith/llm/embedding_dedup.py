@@ -14,6 +14,8 @@ from math import erfc, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ from geolith.llm.common import cut, session
 from geolith.llm.components import components
 
 #: Filters that a vector passes on average; vectors that a filter holds on average.
-PASSED, HELD = 32.0, 64.0
+PASSED, HELD = 24.0, 64.0
 
 
 class Codes:
@@ -77,12 +79,35 @@ class Codes:
         return total[:, min(least, total.shape[1]) - 1] - 1e-12
 
 
+def _unit(column, dim: int) -> np.ndarray:
+    """Vectors of a column at length one, in double precision; by the largest component first, so that no square overflows or vanishes."""
+    x = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten().to_numpy().reshape(-1, dim).astype(float)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _keyed(batches):
+    """(vec_id, embedding) -> with a key that equal vectors share, null if the vector is null, empty, zero or holds a null or non-finite component."""
+    for b in batches:
+        e = b.column(1)
+        values = e.flatten()
+        bad = pc.or_kleene(pc.is_null(values), pc.invert(pc.is_finite(pc.cast(values, pa.float64()))))
+        x, bad = values.to_numpy(zero_copy_only=False), bad.fill_null(True).to_numpy(zero_copy_only=False)
+        sizes = np.diff(pc.list_value_length(e).fill_null(0).to_numpy(zero_copy_only=False).cumsum(), prepend=0)
+        ends = sizes.cumsum()
+        keys = []
+        for a, z in zip((ends - sizes).tolist(), ends.tolist()):
+            good = z > a and not bad[a:z].any() and x[a:z].any()
+            keys.append(int.from_bytes(xxhash.xxh64_digest(np.ascontiguousarray(x[a:z]).tobytes()), "big", signed=True) if good else None)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), e], ["vec_id", "key", "v"])
+
+
 def _filters(codes: Codes, dim: int):
     def run(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
-                x = part.column(1).flatten().to_numpy().reshape(-1, dim)
+                x = _unit(part.column(1), dim)
                 rows, ids = codes.passed(x)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), *(part.column(k).take(pa.array(rows)) for k in (0, 1, 2))], ["filter", "key", "v", "copies"])
 
@@ -104,17 +129,15 @@ def _meet(codes: Codes, dim: int, cosine: float):
         mark[rows[earlier], at] = 1
         count, out, left = np.zeros(len(first), np.int64), [], np.ones(len(first), bool)
         near = []
-        for lo in range(0, len(first), 2048):
-            s = vec[lo : lo + 2048] @ vec.T >= cosine
+        for lo in range(0, len(first), 512):
+            s = vec[lo : lo + 512] @ vec.T >= cosine
             s[np.arange(len(s)), lo + np.arange(len(s))] = False
             if x != y:  # two different blocks: pairs within one meet elsewhere
-                s &= side[lo : lo + 2048, None] != side[None, :]
+                s &= side[lo : lo + 512, None] != side[None, :]
             r, c = np.nonzero(s)
-            for k in range(0, len(r), 1 << 18):
-                p, q = r[k : k + (1 << 18)] + lo, c[k : k + (1 << 18)]
-                fresh = (mark[p] * mark[q]).sum(1) == 0 if len(seen) else np.ones(len(p), bool)
-                count += np.bincount(p[fresh], copies[q[fresh]], len(first)).astype(np.int64)
-            near.append((r + lo, c))
+            near.append(((r + lo).astype(np.int32), c.astype(np.int32)))
+            s &= mark[lo : lo + 512] @ mark.T == 0  # else the pair is counted in an earlier filter
+            count[lo : lo + 512] = s @ copies
         r, c = (np.concatenate([n[k] for n in near]) for k in (0, 1))
         bounds = np.searchsorted(r, np.arange(len(first) + 1))
         for s in range(len(first)):  # a spanning forest: fewer links than members
@@ -140,7 +163,7 @@ def _meet(codes: Codes, dim: int, cosine: float):
             ends = np.append(new[1:], t.num_rows)
             stop = len(new) if last else len(new) - 1
             key, side, copies = (t.column(k).to_numpy() for k in (3, 4, 6))
-            vec = t.column(5).combine_chunks().flatten().to_numpy().reshape(-1, dim)
+            vec = _unit(t.column(5), dim)
             out = []
             for a, b in zip(new[:stop], ends[:stop]):
                 if b - a > 1:
@@ -162,10 +185,10 @@ def _meet(codes: Codes, dim: int, cosine: float):
 
 
 def embedding_links(classes: DataFrame, n: int, dim: int, cosine: float, block: int) -> DataFrame:
-    """classes (key, v: unit vector, copies) -> (a, null, n: copies linked with a, to be added up) and (a, b, 0):
+    """classes (key, v, copies) -> (a, null, n: copies linked with a, to be added up) and (a, b, 0):
     links that span what is linked. Filters with over `block` vectors are dealt out as pairs of blocks."""
-    codes = Codes(n, dim)
-    rows = cut(classes.select("key", "v", "copies")).mapInArrow(_filters(codes, dim), "filter long, key long, v array<double>, copies long")
+    codes, kind = Codes(n, dim), classes.schema["v"].dataType.simpleString()
+    rows = cut(classes.select("key", "v", "copies")).mapInArrow(_filters(codes, dim), f"filter long, key long, v {kind}, copies long")
     hot = cut(rows.groupBy("filter").count().where(F.col("count") > block).select("filter", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
     one = F.lit(0)
     if hot.count():
@@ -187,15 +210,10 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.95, block: int = 2048)
     they are not kept. Repeated rows are vectors like others, and share a component. No rows: no rows.
     """
     session(vectors.sparkSession)
-    e = F.transform("embedding", lambda x: x.cast("double"))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("e"))
-    largest = F.array_max(F.transform("e", lambda x: F.abs(x)))
-    good = F.coalesce(F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (largest > 0), F.lit(False))
-    # By the largest component first, so that no square overflows or vanishes.
-    rows = rows.withColumn("e", F.when(good, F.transform("e", lambda x: x / largest + 0.0)))
-    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x))
-    rows = rows.withColumn("v", F.transform("e", lambda x: x / norm)).drop("e")
-    rows = cut(rows.withColumn("key", F.when(F.col("v").isNotNull(), F.xxhash64("v"))))
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v"))
+    rows = cut(rows.mapInArrow(_keyed, f"vec_id long, key long, v {kind}"))
     classes = rows.where("key is not null").groupBy("key").agg(F.first("v").alias("v"), F.count("*").alias("copies"), F.min("vec_id").alias("least"))
     classes = cut(classes)
     sizes = classes.groupBy(F.size("v").alias("dim")).count().collect()  # one row for each length
