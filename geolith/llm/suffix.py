@@ -36,7 +36,7 @@ GRAM, SYMBOL = 32, 50
 #: A text is scanned in pieces of so many windows, and short texts together up to so many bytes.
 PIECE, GATHER = 1 << 22, 1 << 18
 #: Bytes of contexts that are merged at once, and shards they are cut into.
-BLOCK, SHARDS = 4 << 20, 8
+BLOCK, SHARDS = 1 << 20, 8
 
 _RANDOM = np.random.default_rng(20240501).integers(0, 1 << 64, 256, dtype=np.uint64)
 _ODD = np.random.default_rng(20240502).integers(0, 1 << 64, 32, dtype=np.uint64) | np.uint64(1)
@@ -341,7 +341,7 @@ def _removal(length: int, with_text: bool):
     return run
 
 
-def repeated_passages(docs: DataFrame, length: int = 200, max_contexts: int = 20000, with_text: bool = False) -> DataFrame:
+def repeated_passages(docs: DataFrame, length: int = 200, max_contexts: int = 4000, with_text: bool = False) -> DataFrame:
     """docs (doc_id, text, ...) -> (rest: struct of all columns but text, n_bytes, n_removed, n_spans, kept_sha256),
     one row per row of docs; with_text adds `kept`, the remaining bytes as text, without partial characters.
 
