@@ -10,6 +10,7 @@ from geolith.llm.common import fold, table
 from geolith.llm.embedding_dedup import embedding_dedup
 from geolith.llm.license_scan import license_scan
 from geolith.llm.mix import mix_table
+from geolith.llm.oracle import ORACLE_SQL
 from geolith.llm.pack import pack
 from geolith.llm.quality_model import quality_scores
 from geolith.llm.quality_rules import quality_rules
@@ -64,4 +65,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_quality_rules, op2_quality_classifier, op3_best_fit_packing, op4_simhash, op5_url_filter, op6_embedding_dedup, op7_source_mix, op8_license_scan, op9_suffix_dedup, op10_toxicity)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
