@@ -89,10 +89,10 @@ def _summed(rows: DataFrame, fold) -> np.ndarray:
                 got = fold(b)
                 total = got if total is None else total + got
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(total.ravel())], ["v"])
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], ["v"])
 
-    got = rows.repartition(SUMS, "key").mapInArrow(run, "v double").toArrow().column("v").to_numpy()
-    return got  # SUMS or fewer arrays, one after the other
+    got = rows.coalesce(SUMS).mapInArrow(run, "v array<double>").toArrow().column("v").combine_chunks()
+    return got.flatten().to_numpy()  # SUMS or fewer arrays, one after the other
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +115,7 @@ def fit(train: DataFrame):
         return lambda x: np.full(len(x), 0.5)
     if n > MOST_ROWS:
         rows = rows.where(F.pmod(F.col("key"), F.lit(1 << 20)) < MOST_ROWS * (1 << 20) // n)
-    rows = cut(rows.repartition(SUMS, "key").sortWithinPartitions("key"))
+    rows = cut(rows)
 
     def moments(b):
         x = _matrix(b.column(1))
