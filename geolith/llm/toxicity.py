@@ -135,10 +135,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out) -> DataFrame:
     session(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.avg(F.col("toxic").cast("double")).alias("y"))
-    train = docs.select("doc_id", "text").where(~F.coalesce(held_out, F.lit(False))).join(known, "doc_id").select("doc_id", "text", "y")
+    known = cut(known.where(~F.coalesce(held_out, F.lit(False))))
     n = known.count()
     if n > MOST_ROWS:
-        train = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < MOST_ROWS * (1 << 20) // n)
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < MOST_ROWS * (1 << 20) // n)
+    # About MOST_ROWS ids and labels at most: small enough to go to the texts, which then need no shuffle.
+    train = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
     chosen = choose_terms(train)
 
     def lists(batches):
@@ -146,7 +148,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out) -> DataFrame:
             got = _slots_of(b.column(0).to_pylist(), chosen)
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.int32())), b.column(1), b.column(2)], ["ids", "y", "key"])
 
-    rows = train.select("text", "y", F.xxhash64("doc_id").alias("key")).mapInArrow(lists, "ids array<int>, y double, key long").orderBy("key", "y").toArrow()
+    keyed = train.select("text", "y", F.xxhash64("doc_id").alias("key"))
+    rows = keyed.mapInArrow(lists, "ids array<int>, y double, key long")
+    rows = rows.dropDuplicates(["key"]).toArrow().sort_by("key")
     if rows.num_rows:
         ids = rows["ids"].combine_chunks()
         model = Machine(len(chosen)).fit(ids.flatten().to_numpy(), ids.offsets.to_numpy(), rows["y"].to_numpy())
