@@ -92,23 +92,29 @@ def _estimate(rows: DataFrame) -> DataFrame:
 def _start(rows: DataFrame) -> DataFrame:
     """Medians and median deviations; the values are integers of a small range, so a median keeps few counts."""
     mid = rows.groupBy("grp").agg(*[F.median(f"x{i}").alias(f"m{i}") for i in range(DIM)])
-    spread = rows.join(mid, "grp").groupBy("grp").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(DIM)], *[F.median(F.abs(F.col(f"x{i}") - F.col(f"m{i}"))).alias(f"d{i}") for i in range(DIM)])
+    spread = rows.join(_small(cut(mid)), "grp").groupBy("grp").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(DIM)], *[F.median(F.abs(F.col(f"x{i}") - F.col(f"m{i}"))).alias(f"d{i}") for i in range(DIM)])
     factor = {(i, j): F.lit(0.0) if i != j else F.sqrt(F.pow(1.4826 * F.col(f"d{i}"), 2) + (FLOOR[i] * SCALE) ** 2) for i in range(DIM) for j in range(i + 1)}
     return spread.select("grp", *[f"m{i}" for i in range(DIM)], *[c.alias(f"l{i}{j}") for (i, j), c in factor.items()])
 
 
+def _small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A written table of one row for each group: broadcast if it has at most `most` rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def mcd(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     """rows (grp, x0..) -> for each group the estimate m0.., l00.. after `steps` concentration steps."""
     estimate = cut(_start(rows))
     for _ in range(steps):
+        estimate = _small(estimate)
         # The rows nearest by distance, in steps of 1/64: all up to the first step that holds SHARE of the group.
         near = rows.join(estimate, "grp").withColumn("bin", F.least(F.floor(F.sqrt(_distance()) * 64), F.lit(1 << 20)).cast("long"))
         bins = near.groupBy("grp", "bin").agg(F.count("*").alias("n"))
         w = Window.partitionBy("grp")
         bins = bins.withColumns({"upto": F.sum("n").over(w.orderBy("bin")), "all": F.sum("n").over(w)})
         edge = bins.where(F.col("upto") >= SHARE * F.col("all")).groupBy("grp").agg(F.min("bin").alias("edge"))
-        estimate = cut(_estimate(near.join(edge, "grp").where("bin <= edge")))
-    return estimate
+        estimate = cut(_estimate(near.join(_small(cut(edge)), "grp").where("bin <= edge")))
+    return _small(estimate)
 
 
 def judged(docs: DataFrame, carry: bool = False) -> DataFrame:
@@ -130,7 +136,7 @@ def judged(docs: DataFrame, carry: bool = False) -> DataFrame:
     size = size.withColumn("of_lang", F.sum("n").over(w)).withColumn("pooled", (F.col("n") < LEAST) & (F.col("of_lang") < LEAST)).withColumn("of_all", F.sum("n").over(every))
     name = F.when(F.col("n") >= LEAST, F.concat("lang", F.lit("\x01"), "source")).when(F.col("of_lang") >= LEAST, F.concat("lang", F.lit("\x02"))).when(F.col("of_all") >= LEAST, F.lit("\x03"))
     groups = cut(size.select("lang", "source", name.alias("grp")))
-    stats = stats.join(groups, ["lang", "source"], "left")
+    stats = stats.join(_small(groups), ["lang", "source"], "left")
     estimate = mcd(stats.where("not base_failed and grp is not null").select("grp", *[f"x{i}" for i in range(DIM)]))
     out = stats.join(estimate, "grp", "left").withColumn("distance", _distance())
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True)))
