@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geolith.llm.common import cut, session
+
 #: (host, path, verdict): a rule fits its host and all subdomains where the url's path starts with its path.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 #: Standard deviations between the posterior mean and its lower bound; the bound at which a host is blocked.
@@ -62,8 +64,8 @@ def reputations(hosts: DataFrame) -> DataFrame:
     domains = seen.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).withColumn("root", F.lit(0))
     root = suffixes.groupBy("root").agg(((F.sum("b") + 0.5) / (F.sum("n") + 1)).alias("mean"), (F.sum("b") + 0.5).alias("alpha"), (F.sum("n") - F.sum("b") + 0.5).alias("beta"))
-    of_suffix = _posteriors(suffixes, "suffix", "root", root.select("root", "mean"))
-    of_domain = _posteriors(domains, "domain", "suffix", of_suffix.select("suffix", "mean"))
+    of_suffix = cut(_posteriors(suffixes, "suffix", "root", root.select("root", "mean")))
+    of_domain = cut(_posteriors(domains, "domain", "suffix", of_suffix.select("suffix", "mean")))
     of_host = _posteriors(seen.select("host", "domain", "n", "b"), "host", "domain", of_domain.select("domain", "mean"))
     pair = lambda t, key, name: t.select(key, F.struct("alpha", "beta").alias(name))
     out = hosts.join(pair(of_host, "host", "h"), "host", "left").join(pair(of_domain, "domain", "d"), "domain", "left").join(pair(of_suffix, "suffix", "s"), "suffix", "left")
@@ -82,6 +84,7 @@ def url_filter(pages: DataFrame, rules=RULES, labels: DataFrame | None = None) -
     have no label. Several labels of an id are counted by their mean. With no outcome at all, all hosts have a mean of
     one half and are allowed, as the bound is below. Repeated rows count each. An empty table gives no rows.
     """
+    session(pages.sparkSession)
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rows = rows.withColumns({"rule": _rule(rules, 0), "by_rule": _rule(rules, 1)})
@@ -90,7 +93,7 @@ def url_filter(pages: DataFrame, rules=RULES, labels: DataFrame | None = None) -
     else:
         mean = labels.where("page_id is not null").groupBy("page_id").agg(F.avg(F.col("blocked").cast("double")).alias("blocked"))
         outcome = rows.join(mean, "page_id", "left").select("host", "blocked")
-    hosts = outcome.groupBy("host").agg(F.count("blocked").cast("double").alias("n"), F.coalesce(F.sum("blocked"), F.lit(0.0)).alias("b"))
+    hosts = cut(outcome.groupBy("host").agg(F.count("blocked").cast("double").alias("n"), F.coalesce(F.sum("blocked"), F.lit(0.0)).alias("b")))
     out = rows.join(reputations(hosts), "host")
     verdict = F.coalesce("by_rule", F.when(F.col("bound") >= THRESHOLD, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.col("mean").alias("reputation"), "bound")
