@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from geolith.operators import energy, exchange, fusion, labelling, messages, simplify, surface, tiling, triangulation
+from geolith.operators import cells as volume
+from geolith.operators import energy, exchange, factors, fusion, labelling, messages, scoring, simplify, surface, tiling, triangulation
+from geolith.plans import reconstruction
 from geolith.plans.spatial import ADJACENT_SQL, adjacent
 from geolith.plans.views import BOX, POINTS_SQL, load, points, tiled
+from geolith.schema import Box
 from geolith.sources import params, ply, sinks
 from geolith.sources.points import clustered_points
 
@@ -334,4 +337,46 @@ def r7_ply_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ply.ply_files(t).mapInPandas(back, "tile_id long, n long, xmin double, ymax double, box_zmax double")
 
 
+@query(None)
+def r8_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain over a shell of points, a customer each, about a common sensor-facing surface: rows of each table, and facets by edge use."""
+    c = load(spark, sf_dir, "customer")
+    turn, up = F.col("c_custkey") * 2.399963229728653, 2 * (F.col("c_custkey") % 997) / 996.0 - 1
+    flat = F.sqrt(1 - up * up)
+    p = c.select(F.col("c_custkey").alias("pid"), (flat * F.cos(turn)).alias("x"), (flat * F.sin(turn)).alias("y"), up.alias("z"))
+    p = p.withColumns({f"{a}_origin": F.col(a) * 5 for a in "xyz"})
+    r = reconstruction.reconstruct(p, reconstruction.Settings(Box((-1.5,) * 3, (1.5,) * 3), depth=1, max_ppt=400, lambda_=0.3, max_opt_it=8))
+    vertices, faces = reconstruction.mesh(r)
+    ends = faces.select(F.explode(F.array(*[F.array(F.col("face")[i], F.col("face")[j]) for i, j in ((0, 1), (1, 2), (2, 0))])).alias("e"))
+    open_ = ends.exceptAll(ends.select(F.reverse("e").alias("e"))).count()
+    rows = [("points", r.points.count()), ("cells", r.scores.count()), ("occupied", r.labels.where("label = 0").count()), ("facets", r.facets.count()), ("vertices", vertices.count()), ("open_edges", open_), ("rounds", len(r.log["agreement"])), ("differ", r.log["agreement"][-1][1])]
+    return spark.createDataFrame(rows, "what string, n long")
+
+
+@query(None)
+def r9_factor_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beliefs on a factor graph: suppliers are two-state variables with priors from their balance, nations tie them to a regional one by three-variable factors."""
+    s = load(spark, sf_dir, "supplier")
+    good = F.when(F.col("s_acctbal") > 4500, 0.8).otherwise(0.3)
+    priors = s.select(F.col("s_suppkey").alias("id"), F.array(F.log(1 - good), F.log(good)).alias("values"))
+    pairs = s.select(F.col("s_suppkey").alias("a"), "s_nationkey").withColumn("b", F.lead("a").over(Window.partitionBy("s_nationkey").orderBy("a"))).where("b is not null")
+    table = [1.0, 0.6, 0.6, 0.2, 0.2, 0.6, 0.6, 1.0]  # (a, b, nation), the first running fastest: alike is likely
+    f = pairs.select(F.col("a").alias("factor"), F.array("a", "b", F.lit(1_000_000) + F.col("s_nationkey").cast("long")).alias("variables"), F.array(*[F.lit(2)] * 3).alias("sizes"), F.array(*[F.log(F.lit(v)) for v in table]).alias("values"))
+    out = factors.factor_bp(priors, f)
+    return out.select("id", F.round(F.col("belief")[0], 6).alias("b0"), F.round(F.col("belief")[1], 6).alias("b1"))
+
+
+@query(None)
+def r10_dual_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voronoi edges of the distributed triangulation by kind, shared-cell counts that differ (none), counts that belong to tiles."""
+    p, cells, _ = tiles_triangulated(spark, sf_dir)
+    main = triangulation.main_cells(cells).withColumn("cell", F.concat_ws("-", F.transform("pids", lambda x: x.cast("string"))))
+    balls = volume.spheres(scoring.cell_corners(main.select("tile", "cell", "pids"), p))
+    _, edges = volume.dual_graph(cells, balls)
+    n = volume.counts_by_tile(cells, p).agg(F.sum("n_vertices"), F.sum("n_facets"), F.sum("n_cells")).first()
+    rows = [(f"edges_{r['area']}", r["n"]) for r in edges.groupBy("area").agg(F.count("*").alias("n")).orderBy("area").collect()]
+    rows += [("differing", volume.shared_counts(cells).where("n <> n_back").count()), ("vertices", n[0]), ("facets", n[1]), ("cells", n[2])]
+    return spark.createDataFrame(rows, "what string, n long")
+
+
 __all__ = ["ORACLE_SQL", "POINTS_SQL", "QUERIES", "points"]

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -15,6 +16,15 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared checkpoint folder. For loops: what the next round reads carries no plan, statistics or
+    constraints of the rounds before, which a checkpointed frame does, and which grow with each."""
+    spark = prepared(df.sparkSession)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session on this machine, as the tests and the benchmark use it."""
     conf = {"spark.sql.shuffle.partitions": partitions, "spark.driver.memory": memory, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true"}
