@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geolith.plans import evidence, spatial
+from geolith.plans import evidence, formulas, spatial
 from geolith.session import prepared
 
 
@@ -19,5 +19,5 @@ def _prepared(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return run
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _prepared(f) for k, f in (spatial.QUERIES | evidence.QUERIES).items()}
-ORACLE_SQL: dict[str, str] = spatial.ORACLE_SQL | evidence.ORACLE_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _prepared(f) for k, f in (spatial.QUERIES | evidence.QUERIES | formulas.QUERIES).items()}
+ORACLE_SQL: dict[str, str] = spatial.ORACLE_SQL | evidence.ORACLE_SQL | formulas.ORACLE_SQL
