@@ -359,7 +359,8 @@ def repeated_passages(docs: DataFrame, length: int = 200, max_contexts: int = 40
 
     contexts = base.select("text", owner.alias("dk")).mapInArrow(_count(length), "h long, c long, dk int")
     contexts = contexts.groupBy("h", "c").agg(F.count("*").alias("n"), F.min("dk").alias("dk"))
-    anchors = contexts.groupBy("h").agg(F.count("*").alias("nd"), F.sum("n").alias("total")).where("total > 1")
+    # The filter names dk, which is never null, so that both uses of the contexts read one shuffle.
+    anchors = contexts.groupBy("h").agg(F.count("*").alias("nd"), F.sum("n").alias("total"), F.min("dk").alias("dk")).where("total > 1 or dk is null").select("h", "nd")
     known = cut(contexts.join(anchors, "h").select("h", "c", "dk", (F.col("n") > 1).alias("whole"), "nd"))
 
     places = base.select("text", "did", "th").mapInArrow(_occurrences(length), "h long, c long, did long, th int, offs binary, wins int")
