@@ -122,6 +122,18 @@ def _meet(codes: Codes, dim: int, cosine: float):
         if len(first) < 2:
             return []
         vec, copies, side = vec[member], copies[member], side[member]
+
+        def linked(lo: int) -> np.ndarray:
+            s = vec[lo : lo + 512] @ vec.T >= cosine
+            s[np.arange(len(s)), lo + np.arange(len(s))] = False
+            if x != y:  # two different blocks: pairs within one meet elsewhere
+                s &= side[lo : lo + 512, None] != side[None, :]
+            return s
+
+        some = np.concatenate([linked(lo).any(axis=1) for lo in range(0, len(first), 512)])
+        if not some.any():
+            return []
+        first, vec, copies, side = first[some], vec[some], copies[some], side[some]
         rows, ids = codes.passed(vec)
         earlier = ids < flt
         seen, at = np.unique(ids[earlier], return_inverse=True)
@@ -130,10 +142,7 @@ def _meet(codes: Codes, dim: int, cosine: float):
         count, out, left = np.zeros(len(first), np.int64), [], np.ones(len(first), bool)
         near = []
         for lo in range(0, len(first), 512):
-            s = vec[lo : lo + 512] @ vec.T >= cosine
-            s[np.arange(len(s)), lo + np.arange(len(s))] = False
-            if x != y:  # two different blocks: pairs within one meet elsewhere
-                s &= side[lo : lo + 512, None] != side[None, :]
+            s = linked(lo)
             r, c = np.nonzero(s)
             near.append(((r + lo).astype(np.int32), c.astype(np.int32)))
             s &= mark[lo : lo + 512] @ mark.T == 0  # else the pair is counted in an earlier filter
