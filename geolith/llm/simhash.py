@@ -254,8 +254,10 @@ def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4, block:
     classes = each.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(fingerprint_links(each.select("fp").distinct(), radius, block))
     classes = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return each.join(classes.join(least, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "th", "fp", "root", "component_id")
+    # Written tables on one side: then Spark can split the other side's large partitions, of a large component or many copies.
+    least = cut(classes.groupBy("root").agg(F.min("least").alias("component_id")))
+    classes = cut(classes.join(least, "root").select("fp", "root", "component_id"))
+    return each.join(classes, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
 def simhash(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
@@ -267,7 +269,11 @@ def keep_one(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """The rows of docs that stand for their component: those with its least id, one of them if rows repeat.
     A component without any id keeps one row."""
     found = simhash_components(docs, width, radius)
-    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("s"))
-    chosen = chosen.select(F.col("s.doc_id").alias("__id"), F.col("s.th").alias("__th"))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__th"))
-    return docs.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    # By the root as text: not the key that the rows are already dealt by, so a large component is combined before it is shuffled.
+    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("root").cast("string")).agg(F.min(F.struct("doc_id", "th")).alias("s"))
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62)))
+    chosen = chosen.select("s.doc_id", F.col("s.th").alias("th")).select(own.alias("id"), "th")
+    rows = docs.select(F.struct("*").alias("row"), own.alias("id"), F.xxhash64("text").alias("th"))
+    # Repeated rows go first, before the shuffle as far as they meet there; the join is on the same keys, so the texts are shuffled once.
+    kept = rows.dropDuplicates(["id", "th"]).join(chosen, ["id", "th"], "left_semi")
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
