@@ -87,11 +87,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, cluster:
     last = F.greatest(F.ceil(F.col("words") / capacity).cast("long") - 1, F.lit(0))
     pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     pieces = pieces.select("doc_id", "th", "piece", (F.col("piece") * capacity).alias("start"), F.least(F.lit(capacity), F.col("words") - F.col("piece") * capacity).alias("n_words"), "source", "cluster")
-    pieces = cut(pieces)
-    shards = max(1, -(-pieces.count() // shard))
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "th", "piece"), F.lit(shards)))
+    # Repeated rows are counted and numbered, so that they too are spread over the shards.
+    pieces = cut(pieces.groupBy(*pieces.columns).agg(F.count("*").alias("copies")))
+    shards = max(1, -(-(pieces.agg(F.sum("copies")).first()[0] or 0) // shard))
+    pieces = pieces.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "th", "piece", "copy"), F.lit(shards)))
 
-    order = [("n_words", "descending"), ("th", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")]
+    order = [("n_words", "descending"), ("th", "ascending"), ("doc_id", "ascending"), ("piece", "ascending"), ("copy", "ascending")]
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by(order)
