@@ -160,7 +160,7 @@ def q13_planar_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 l AS (SELECT *, CAST(sum(CASE WHEN event_type <> prev THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) line FROM o),
 g AS (SELECT user_id, line, count(*) n, first(tx ORDER BY ts, event_id) fx, last(tx ORDER BY ts, event_id) lx, first(value ORDER BY ts, event_id) fy, last(value ORDER BY ts, event_id) ly, max(value) top FROM l GROUP BY ALL),
 h AS (SELECT *, sqrt((lx - fx) * (lx - fx) * 1.0::DOUBLE + (ly - fy) * (ly - fy)) size FROM g)
-SELECT user_id, line, n, round(CASE WHEN size > 0 THEN (lx - fx) / size ELSE 0 END, 6) dir_x, round(CASE WHEN size > 0 THEN (ly - fy) / size ELSE 0 END, 6) dir_y, round(top + 2 * size, 4) sensor_z FROM h""")
+SELECT user_id, line, n, round(CASE WHEN size > 0 THEN (lx - fx) / size ELSE 0 END, 6) + 0.0::DOUBLE dir_x, round(CASE WHEN size > 0 THEN (ly - fy) / size ELSE 0 END, 6) + 0.0::DOUBLE dir_y, round(top + 2 * size, 4) sensor_z FROM h""")
 def q14_scan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events").withColumn("tx", F.unix_timestamp("ts"))
     lined = orientation.scan_lines(e, "user_id", ["ts", "event_id"], "event_type")

@@ -60,3 +60,18 @@ def test_ply_round_trip(spark):
 def test_generator_and_thinning(spark):
     got = catalogue.QUERIES["r6_generated_and_thinned"](spark, SF).collect()
     assert got and all(0 < r["n_kept"] <= r["n"] for r in got)
+
+
+def test_reconstruction_is_closed(spark):
+    got = dict(map(tuple, catalogue.QUERIES["r8_reconstruction"](spark, SF).collect()))
+    assert got["facets"] > 0 and got["open_edges"] == 0 and got["differ"] == 0
+
+
+def test_beliefs_sum_to_one(spark):
+    got = catalogue.QUERIES["r9_factor_graph"](spark, SF).collect()
+    assert got and all(abs(r["b0"] + r["b1"] - 1) < 1e-5 for r in got)
+
+
+def test_dual_graph_counts(spark):
+    got = dict(map(tuple, catalogue.QUERIES["r10_dual_graph"](spark, SF).collect()))
+    assert got["differing"] == 0 and got["edges_1"] + got["edges_2"] <= got["facets"]
