@@ -150,7 +150,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 def passing(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep. A verdict belongs to an id, text, language and source, so repeated rows share it."""
     key = lambda lang, source, th: F.xxhash64("doc_id", lang, source, th)
-    marks = judged(docs).where("kept").select(F.col("doc_id").cast("string").alias("k_id"), F.col("th").alias("k_th"), F.col("lang").alias("k_lang"), F.col("source").alias("k_source")).distinct()
+    marks = judged(docs).where("kept").select(F.col("doc_id").cast("string").alias("k_id"), F.col("th").alias("k_th"), F.col("lang").alias("k_lang"), F.col("source").alias("k_source"))
     lang = F.concat(F.lit("l"), F.coalesce(F.concat(F.lit("="), docs["lang"].cast("string")), F.lit("")))
     source = F.coalesce(F.concat(F.lit("="), docs["source"].cast("string")), F.lit(""))
     same = docs["doc_id"].cast("string").eqNullSafe(F.col("k_id")) & (F.xxhash64(docs["text"]) == F.col("k_th")) & (lang == F.col("k_lang")) & (source == F.col("k_source"))
