@@ -51,6 +51,27 @@ def nodes_up_to(level: int, dim: int = 3) -> int:
     return ((1 << dim) ** (level + 1) - 1) // ((1 << dim) - 1)
 
 
+def parent_node(node: Column, level: int, dim: int = 3) -> Column:
+    """The node above a node of a level (1 or more): half its coordinates, a level up."""
+    side, half = 1 << level, 1 << (level - 1)
+    local = node - nodes_up_to(level - 1, dim)
+    coordinates = [F.floor(local / side**k).cast("long") % side for k in range(dim)]
+    above = sum((F.shiftright(c, 1) * half**k for k, c in enumerate(coordinates[1:], 1)), F.shiftright(coordinates[0], 1))
+    return above + (nodes_up_to(level - 2, dim) if level > 1 else 0)
+
+
+def is_ancestor(upper: Column, upper_level: int, lower: Column, lower_level: int, dim: int = 3) -> Column:
+    """Whether a node is above (or is) another, whose level is at least its own."""
+    for level in range(lower_level, upper_level, -1):
+        lower = parent_node(lower, level, dim)
+    return upper == lower
+
+
+def grid_side(depth: int) -> int:
+    """Cells a side for a tree of a depth, 256 at most."""
+    return min(1 << depth, 256)
+
+
 def octree_leaves(counts: DataFrame, depth: int, limit: int) -> DataFrame:
     """counts (cell, ix, iy, iz, n) on a grid of 2**depth cells a side -> (cell, level, node, leaf_n).
 

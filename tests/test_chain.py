@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from geolith.operators import cells as volume
 from geolith.operators import factors, labelling, lod, scoring, tiling, triangulation
-from geolith.plans.reconstruction import Settings, mesh, reconstruct
+from geolith.plans.reconstruction import Settings, load, mesh, reconstruct, save
 from geolith.schema import Box
 from geolith.sources import meshes
 
@@ -40,6 +40,23 @@ def test_surface_encloses_the_shell(shell):
     assert r.log["sent"][-1] == 0 and r.log["agreement"][-1][1] == 0
 
 
+def test_save_and_load(spark, shell, tmp_path):
+    _, _, r = shell
+    save(r, str(tmp_path / "run"))
+    back = load(spark, str(tmp_path / "run"))
+    assert back.facets.count() == r.facets.count() and mesh(back)[1].exceptAll(mesh(r)[1]).count() == 0
+
+
+def test_tree_steps(spark):
+    for level in (1, 2, 3):
+        first, side = tiling.nodes_up_to(level - 1), 1 << level
+        rows = [(first + (z * side + y) * side + x, x, y, z) for x in range(side) for y in range(side) for z in range(side)]
+        df = spark.createDataFrame(rows, "node long, x long, y long, z long")
+        base, half = tiling.nodes_up_to(level - 2) if level > 1 else 0, side // 2
+        for r in df.select("*", tiling.parent_node(F.col("node"), level).alias("up"), tiling.is_ancestor(F.lit(0), 0, F.col("node"), level).alias("root")).collect():
+            assert r["up"] == base + ((r["z"] // 2) * half + r["y"] // 2) * half + r["x"] // 2 and r["root"]
+
+
 def test_tiles_hold_the_whole_triangulation(shell):
     p, df, r = shell
     want = triangulation.single_tile(pd.DataFrame({"pid": range(len(p))} | {a: p[:, i] for i, a in enumerate("xyz")}), 1e-6)
