@@ -150,12 +150,17 @@ def _occurrences(length: int):
 
 
 def _contexts(length: int, hot: bool):
-    """(did, th, text, rest, found) -> a row for each context that its text stands for, with its bytes: those of hot anchors or the others."""
+    """(did, th, text, rest, found) -> a row for each context that its text stands for, with its bytes: those of hot anchors or the others.
+    Repeated rows come to one task, or a few if there are very many; each gives its contexts once."""
 
     def run(batches):
+        done = set()
         for b in batches:
             held = []
             for did, th, text, found in zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 4))):
+                if (did, th) in done:
+                    continue
+                done.add((did, th))
                 for f in found:
                     if f["h"] is not None and f["hot"] == hot:
                         off = int.from_bytes(f["offs"][:4], "little")
