@@ -237,8 +237,9 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.95, block: int = 2048)
     roots = components(found.where("b is not null").select("a", "b"))
     classes = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").join(links, "key", "left")
     classes = classes.select("key", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "key").alias("root"))
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = classes.join(least, "root").select(F.col("key").alias("k"), "n_links", "component_id")
+    # Written tables on one side: then Spark can split the other side's large partitions, of a large component or many copies.
+    least = cut(classes.groupBy("root").agg(F.min("least").alias("component_id")))
+    classes = cut(classes.join(least, "root").select(F.col("key").alias("k"), "n_links", "component_id"))
     out = rows.join(classes, F.col("key") == F.col("k"), "left")
     own = F.when(F.col("k").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(False)).alias("kept"))
