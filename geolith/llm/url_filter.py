@@ -94,6 +94,6 @@ def url_filter(pages: DataFrame, rules=RULES, labels: DataFrame | None = None) -
         mean = labels.where("page_id is not null").groupBy("page_id").agg(F.avg(F.col("blocked").cast("double")).alias("blocked"))
         outcome = rows.join(mean, "page_id", "left").select("host", "blocked")
     hosts = cut(outcome.groupBy("host").agg(F.count("blocked").cast("double").alias("n"), F.coalesce(F.sum("blocked"), F.lit(0.0)).alias("b")))
-    out = rows.join(reputations(hosts), "host")
+    out = rows.join(cut(reputations(hosts)), "host")  # a written table: Spark can split a large host's partition
     verdict = F.coalesce("by_rule", F.when(F.col("bound") >= THRESHOLD, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.col("mean").alias("reputation"), "bound")
