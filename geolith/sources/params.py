@@ -15,7 +15,6 @@ class Defaults:
 
     dim: str = "3"
     mode: str = "0"
-    ddt_kernel: str = "build-spark"
     max_ppt: str = "10000"
     min_ppt: str = "50"
     depth: str = "4"
