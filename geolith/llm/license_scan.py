@@ -1,14 +1,20 @@
 """License scans: passages against licence templates by the Dice coefficient of their word bigrams.
 
-A text's passages are its whole, its paragraphs (between blank lines) and its lines. A passage is normalised:
+A text's passages are its whole, its paragraphs (between blank lines), its lines, and windows: runs of as many words as a
+template has, over lines and paragraphs, that begin with a bigram of the template. A passage is normalised:
 lower case, and everything but letters and digits separates words. With a and b different bigrams on the two sides,
 the Dice coefficient is at most 2 min(a, b) / (a + b), so a template is compared only with passages whose number of
 bigrams is between b * t / (2 - t) and b * (2 - t) / t at threshold t. All of it is column expressions
 within a row: nothing is joined, shuffled or exploded.
+
+Windows are looked for only in texts that hold enough different bigrams of the template, and only where enough of them are
+near. Of windows of one template that overlap, the one with the highest coefficient counts (then the first); a window
+within one of a longer template doesn't count.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -30,9 +36,13 @@ TEMPLATES = {
 }
 
 
+def words_of(text: str) -> list[str]:
+    return re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
+
+
 def bigrams(text: str) -> list[str]:
     """The different word bigrams of a template, in order."""
-    words = re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
+    words = words_of(text)
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
 
 
@@ -41,11 +51,13 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
     threshold), dice (null likewise), n_matches (different passages that reach it): one row per row of docs.
 
     Ties go to the template listed first. Passages that are the same after normalising count once. Null and empty texts have no
-    passages. A template needs two words at least. Other columns are ignored. An empty table gives no rows.
+    passages. A window at the text's end may be shorter. A template needs two words at least. Other columns are ignored. An empty table gives no rows.
     """
     grams = {name: bigrams(t) for name, t in (templates or TEMPLATES).items()}
     if not all(grams.values()):
         raise ValueError("a template needs two words at least")
+    lengths = {name: len(words_of(t)) - 1 for name, t in (templates or TEMPLATES).items()}
+    least = math.ceil(min(len(g) for g in grams.values()) * threshold / (2 - threshold) - 1e-9)
     low = min(len(g) for g in grams.values()) * threshold / (2 - threshold)
     high = max(len(g) for g in grams.values()) * (2 - threshold) / threshold
 
@@ -55,6 +67,27 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
     def pairs(w: Column) -> Column:
         return F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
 
+    def bound(x: Column, f) -> Column:
+        """f of x, with x worked out once."""
+        return F.transform(F.array(x), f)[0]
+
+    def windows(b: Column, seen: Column, g: list[str], n: int) -> Column:
+        """The windows of n bigrams (start, stop, dice, p) that reach the threshold for a template with bigrams g."""
+        need, of = math.ceil(len(g) * threshold / (2 - threshold) - 1e-9), F.array(*map(F.lit, g))
+
+        def window(i: Column) -> Column:
+            return bound(F.array_distinct(F.slice(b, i + 1, n)), lambda p: F.struct(i.alias("start"), (i + n).alias("stop"), (2.0 * F.size(F.array_intersect(p, of)) / (F.size(p) + len(g))).alias("dice"), p.alias("p")))
+
+        def beaten(x: Column, k: Column, every: Column) -> Column:
+            near = F.slice(every, F.greatest(k + 1 - n, F.lit(1)), 2 * n + 1)
+            return F.exists(near, lambda y: (F.abs(y["start"] - x["start"]) <= n) & ((y["dice"] > x["dice"]) | ((y["dice"] == x["dice"]) & (y["start"] < x["start"]))))
+
+        at = F.filter(F.sequence(F.lit(0), F.size(b) - 1), lambda i: F.array_contains(of, F.get(b, i)))
+        at = bound(at, lambda a: F.filter(a, lambda i, k: F.coalesce(F.get(a, k + need - 1) - i < n, F.lit(False))))
+        found = F.filter(F.transform(at, window), lambda x: x["dice"] >= threshold)
+        found = bound(found, lambda every: F.filter(every, lambda x, k: ~beaten(x, k, every)))
+        return F.when(F.size(F.array_intersect(seen, of)) >= need, found).otherwise(F.array().cast("array<struct<start:int,stop:int,dice:double,p:array<string>>>"))
+
     def best(p: Column) -> Column:
         n = F.size(p)
         of = []
@@ -65,12 +98,19 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
         return F.array_max(F.array(*of)) if len(of) > 1 else of[0]
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.select("doc_id", F.array_distinct(F.concat(F.array(text), F.split(text, r"\n[ \t\r]*\n"), F.split(text, "\n"))).alias("p"))
-    out = out.select("doc_id", F.transform("p", normal).alias("p"))
+    some = list(dict.fromkeys(x for g in grams.values() for x in g))
+    every = lambda w: F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    of = lambda b, seen: F.concat(*[windows(b, seen, grams[name], n) for name, n in lengths.items()])
+    inside = lambda x, y: (y["stop"] - y["start"] > x["stop"] - x["start"]) & (y["start"] <= x["start"]) & (x["stop"] <= y["stop"])
+    outer = lambda ws: F.transform(F.filter(ws, lambda x: ~F.exists(ws, lambda y: inside(x, y))), lambda x: x["p"])
+    none = F.array().cast("array<array<string>>")
+    runs = bound(normal(text), lambda w: F.when(F.size(w) < 2, none).otherwise(bound(every(w), lambda b: bound(F.array_intersect(b, F.array(*map(F.lit, some))), lambda seen: F.when(F.size(seen) < least, none).otherwise(bound(of(b, seen), outer))))))
+    out = docs.select("doc_id", runs.alias("runs"), F.array_distinct(F.concat(F.array(text), F.split(text, r"\n[ \t\r]*\n"), F.split(text, "\n"))).alias("p"))
+    out = out.select("doc_id", "runs", F.transform("p", normal).alias("p"))
     # There are no more bigrams than words less one, and no fewer than different words less one.
-    out = out.select("doc_id", F.filter("p", lambda w: (F.size(w) - 1 >= low) & (F.size(w) >= 2)).alias("p"))
-    out = out.select("doc_id", F.filter("p", lambda w: F.size(F.array_distinct(w)) - 1 <= high).alias("p"))
-    out = out.select("doc_id", F.array_distinct(F.transform("p", pairs)).alias("p"))
+    out = out.select("doc_id", "runs", F.filter("p", lambda w: (F.size(w) - 1 >= low) & (F.size(w) >= 2)).alias("p"))
+    out = out.select("doc_id", "runs", F.filter("p", lambda w: F.size(F.array_distinct(w)) - 1 <= high).alias("p"))
+    out = out.select("doc_id", F.array_distinct(F.concat(F.transform("p", pairs), "runs")).alias("p"))
     out = out.select("doc_id", F.filter(F.transform("p", best), lambda m: m["dice"] >= threshold).alias("m"))
     top = F.array_max("m")
     return out.select("doc_id", top["license"].alias("license"), top["dice"].alias("dice"), F.size("m").cast("long").alias("n_matches"))

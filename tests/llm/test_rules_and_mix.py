@@ -131,6 +131,28 @@ def test_license_scan(spark):
         license_scan.license_scan(df, {"x": "one"})
 
 
+def test_license_in_a_longer_text(spark):
+    rng, t = random.Random(3), license_scan.TEMPLATES
+    around = [words(rng, 60) for _ in range(8)]
+    cuts = {"MIT text": ("The above copyright", "THE SOFTWARE IS PROVIDED"), "Apache-2.0 notice": ("Unless required", "You may obtain"), "GPL-3.0 notice": ("This program is distributed", "See the GNU"), "ISC text": ("THE SOFTWARE IS PROVIDED",)}
+    rows, want = [], []
+    for k, (name, parts) in enumerate(cuts.items()):
+        laid = t[name]
+        for part in parts:
+            laid = laid.replace(part, "\n\n" + part)
+        wrapped = laid.replace(" the ", "\nthe ")
+        rows += [(2 * k, "\n\n".join([*around[:4], laid, *around[4:]])), (2 * k + 1, " ".join([*around[:4], wrapped, *around[4:]]))]
+        # The second paragraph of the ISC text is a passage that reaches the threshold by itself.
+        want += [(2 * k, name, 1.0, 2 if name == "ISC text" else 1), (2 * k + 1, name, 1.0, 1)]
+    line = " ".join(words(rng, 10).split() + ["Released under the MIT License."] + words(rng, 9).split())
+    two = "\n\n".join([around[0], t["GPL-3.0 notice"] + " " + around[1], t["MIT text"].replace(" the ", " "), t["GPL-3.0 notice"] + " " + around[2]])
+    rows += [(20, line), (21, two), (22, " ".join(around)), (23, t["Apache-2.0 notice"])]
+    want += [(20, "MIT", 1.0, 1), (22, None, None, 0), (23, "Apache-2.0 notice", 1.0, 1)]
+    got = {r[0]: tuple(r) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[w[0]] for w in want] == want
+    assert got[21][1:3] == ("GPL-3.0 notice", 1.0) and got[21][3] >= 2
+
+
 def test_targets():
     assert mix.targets({}) == {}
     got = mix.targets({"b": 100, "a": 10, None: 10})
