@@ -8,7 +8,7 @@ from geolith.llm.common import cut
 from geolith.llm.mix import mixed
 from geolith.llm.pack import pack
 from geolith.llm.quality_rules import passing
-from geolith.llm.simhash import keep_one
+from geolith.llm.shingles import keep_one
 from geolith.llm.suffix import remove_repeats
 
 
@@ -18,7 +18,7 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the least id."""
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays, the one with the least id."""
     return keep_one(docs)
 
 

@@ -4,7 +4,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
-from geolith.llm import mix
+from geolith.llm import mix, shingles
 from tests.llm import brute
 from tests.llm.test_dedup import words
 
@@ -53,6 +53,37 @@ def test_stages(spark):
     assert kept[0] > kept[1] == kept[2]
 
 
+def test_near_duplicates_at_the_similarity(spark):
+    """Texts about as similar as 0.8, against all pairs; keys of many texts are dealt out in blocks."""
+    rng, texts = random.Random(5), []
+    for _ in range(20):
+        w = words(rng, rng.randint(80, 160)).split()
+        texts.append(" ".join(w))
+        for _ in range(4):
+            v = list(w)
+            for k in rng.sample(range(len(v)), rng.randint(1, 4)):
+                v[k] = f"x{rng.randint(0, 10**6)}"
+            texts.append(" ".join(v))
+    texts += [texts[0], texts[0].upper(), "two words", "Two  words", None, "", " "]
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    grams = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if (w := (t or "").lower().split()) else set() for t in texts]
+    alike = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if alike(grams[i], grams[j])]
+    # Far from 4 of 64 bits: the pairs that a digest of that radius finds are fewer.
+    assert sum((brute.fingerprint(texts[i]) ^ brute.fingerprint(texts[j])).bit_count() > 4 for i, j in links) > 10
+    root, least = brute.components(len(texts), links), {}
+    for k, r in zip(ids, root):
+        least[r] = min(least.get(r, k), k)
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in zip(ids, texts)], COLUMNS)
+    stage = dict(corpus_pipeline.STAGES)["simhash near-dedup"]
+    assert sorted(r[0] for r in stage(spark, docs, "").collect()) == sorted(least.values())
+    assert sorted(r[0] for r in shingles.keep_one(docs, block=3).collect()) == sorted(least.values())
+    rows = [(None, texts[0]), (None, texts[0]), (7, texts[1]), (7, texts[1]), (None, "alone")]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], COLUMNS)
+    assert sorted((r[0] or 0, r[1]) for r in stage(spark, docs, "").collect()) == sorted([(7, texts[1]), (0, "alone")] if alike(grams[0], grams[1]) else [(0, texts[0]), (7, texts[1]), (0, "alone")])
+
+
 def test_run_and_empty(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").columns == ["doc_id", "piece", "start", "n_words", "bin_id", "bin_offset"]
     docs = spark.createDataFrame([], COLUMNS)
