@@ -3,7 +3,9 @@
 A text's shingles are the different XXH64 values of its runs of `width` words. In the order of those values, two sets of
 a and b values with a similarity of at least t share one among the first a - ceil(t a) + 1 and b - ceil(t b) + 1, so
 texts that meet under such a value are all the candidates there are. Candidates whose sizes or positions rule the
-similarity out are dropped, the others are verified on their whole sets.
+similarity out are dropped, and those whose sketches differ in more bits than the sets may: a sketch holds the parity of
+the values under each of BITS numbers, so two sketches differ in no more bits than the sets in values. The others are
+verified on their whole sets.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from geolith.llm.common import cut, session
 from geolith.llm.components import components
 
 WIDTH, SIMILARITY = 5, 0.8
+#: Bits of a sketch, a multiple of 64.
+BITS = 1024
 
 
 def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
@@ -51,11 +55,13 @@ def _prefixes(width: int, similarity: float):
 
 
 def _sets(width: int):
-    """(sh, text) -> (sh, set)."""
+    """(sh, text) -> (sh, n, set, sketch)."""
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists([shingles(t, width) for t in b.column(1).to_pylist()])], ["sh", "set"])
+            sets = [shingles(t, width) for t in b.column(1).to_pylist()]
+            odd = [np.packbits(np.bincount(s % BITS, minlength=BITS) % 2 == 1).view(np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), _lists(sets), _lists(odd)], ["sh", "n", "set", "sketch"])
 
     return run
 
@@ -106,7 +112,12 @@ def similar_pairs(each: DataFrame, texts: DataFrame, width: int, similarity: flo
     near = rows.select("key", "pos", "size", "sh").repartition("key").sortWithinPartitions("key").mapInArrow(_meet(similarity), "a long, b long")
     near = cut(near.distinct())
     wanted = near.select(F.col("a").alias("sh")).union(near.select(F.col("b").alias("sh"))).distinct()
-    sets = cut(texts.join(wanted, "sh", "left_semi").mapInArrow(_sets(width), "sh long, set array<long>"))
+    sets = cut(texts.join(wanted, "sh", "left_semi").mapInArrow(_sets(width), "sh long, n int, set array<long>, sketch array<long>"))
+    drawn = near
+    for side in "ab":
+        drawn = drawn.join(sets.select(F.col("sh").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
+    bits = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    near = cut(drawn.where(bits <= (F.col("na") + F.col("nb")) * ((1 - similarity) / (1 + similarity)) + 1e-6).select("a", "b"))
     both = near.join(sets.select(F.col("sh").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("sh").alias("b"), F.col("set").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
