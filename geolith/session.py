@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """A session that iterative operators can checkpoint in: the cluster's folder, or one of our own where none is set."""
+    """A session that iterative operators can checkpoint in: the folder that the cluster names, or one of our own on a local master.
+    Elsewhere a folder must be set: executors of a cluster don't see the driver's disk."""
     sc = spark.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="geolith-checkpoint-"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="geolith-checkpoint-"))
     return spark
 
 
@@ -25,6 +29,15 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete a table that `written` gave, once nothing reads it any more."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    if files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session on this machine, as the tests and the benchmark use it."""
     conf = {"spark.sql.shuffle.partitions": partitions, "spark.driver.memory": memory, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true"}
