@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geolith.session import drop, prepared, written
+
 #: Words are maximal runs of anything but these six bytes; bytes.split() uses the same set.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -15,13 +15,14 @@ BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
 def session(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches, and give the context a checkpoint folder if the cluster names none (tests)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    sc = spark.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="geolith-checkpoint-"))
-    return spark
+    """The session, where it can checkpoint. Arrow batches are bounded, unless the caller has bounded them: the settings belong to
+    the session, as plans that run later need them still."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(name)
+        if not 0 < int(now.rstrip("b")) <= most:
+            spark.conf.set(name, str(most))
+    return prepared(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -34,6 +35,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "WORD", "cut", "drop", "fold", "session", "table", "written"]
+
+
 def fold(column: str, modulus: int):
     """crc32 of the id as text, modulo `modulus` (a null id: null)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

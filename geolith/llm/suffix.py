@@ -3,21 +3,22 @@
 A window is `length` consecutive bytes of a text. It is repeated if the same bytes start anywhere
 else, in another text or the same.
 
-1. Each window is assigned to an anchor, its leftmost `GRAM`-byte gram of least hash. Equal windows have
+1. Each window is assigned to an anchor, its leftmost gram (32 bytes) of least hash. Equal windows have
    equal anchors, so what can match always shares an anchor hash. The windows of one anchor
    are consecutive; the bytes under them are the anchor's context.
-2. Contexts that occur more than once are repeated as a whole; counting them, with a combine before the
-   shuffle, deals with copies, however many. An anchor that occurs once has no repeat.
-3. What remains are anchors with several different contexts, each kept once. They are dealt out by anchor.
-   Within a task they are cut into shards; each shard's transform, over symbols of `SYMBOL` bytes at all
-   byte phases, is built by sorting that shard alone. The transforms are merged by
+2. An anchor that occurs once has no repeat and is dropped: all that is decided by counting. Of every other anchor each
+   different context is kept once, with the number of its occurrences, however many copies there are.
+3. These contexts are dealt out by anchor. Within a task they are cut into shards; each shard's transform, over symbols of
+   `SYMBOL` bytes at all byte phases, is built by sorting that shard alone. The transforms are merged by
    iterative interleave refinement: each round places the rows by their transform symbol, stably, which
    sorts all suffixes by one symbol more; where a boundary first appears is the common prefix. Rows
-   that no boundary parts after length / SYMBOL rounds form the repeated intervals.
-4. An anchor with over `max_contexts` different contexts would make a group too large for a task. Its
-   windows are counted one by one by their hashes instead, which is exact too.
+   that no boundary parts after length / SYMBOL rounds form an interval; its windows are repeated if the
+   occurrences of its rows add up to more than one.
+4. An anchor with over `most` different contexts would make a group too large for a task. Its contexts become
+   texts of their own, with their numbers, and go through the same steps with a longer gram, up to the whole window.
 
-Hashes that stand for bytes are 64 bits wide and always compared together with the 64-bit anchor hash.
+Equal texts are one text here, known by a 64-bit and a 32-bit hash of different kinds. Hashes that stand for contexts are 64 bits
+wide and always compared together with the 64-bit anchor hash.
 """
 
 from __future__ import annotations
@@ -30,9 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geolith.llm.common import cut, session
+from geolith.llm.common import cut, drop, session, written
 
 GRAM, SYMBOL = 32, 50
+#: Different contexts of an anchor that are merged in one task.
+MOST = 1000
 #: A text is scanned in pieces of so many windows, and short texts together up to so many bytes.
 PIECE, GATHER = 1 << 22, 1 << 18
 #: Bytes of contexts that are merged at once, and shards they are cut into.
@@ -84,7 +87,7 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:m], x[width - w : width - w + m])
 
 
-def _anchors(texts: list[bytes | None], length: int) -> Iterator[tuple[np.ndarray, ...]]:
+def _anchors(texts: list[bytes | None], length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(row, anchor hash, context hash, start of the first window, windows) of each run of windows."""
     pieces, held = [], 0
     for row, t in enumerate(texts):
@@ -92,20 +95,20 @@ def _anchors(texts: list[bytes | None], length: int) -> Iterator[tuple[np.ndarra
             pieces.append((row, lo, t[lo : lo + PIECE + length - 1]))
             held += len(pieces[-1][2])
             if held >= GATHER:
-                yield _runs(pieces, length)
+                yield _runs(pieces, length, gram)
                 pieces, held = [], 0
     if pieces:
-        yield _runs(pieces, length)
+        yield _runs(pieces, length, gram)
 
 
-def _runs(pieces: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray, ...]:
+def _runs(pieces: list[tuple[int, int, bytes]], length: int, gram: int) -> tuple[np.ndarray, ...]:
     data = np.frombuffer(b"".join(p[2] for p in pieces), np.uint8)
     sizes = np.array([len(p[2]) for p in pieces])
     first = np.cumsum(sizes) - sizes
-    grams = _grams(data, (GRAM, length))
+    grams = _grams(data, (gram, length))
     m = len(data) - length + 1
-    key = (grams[GRAM] & ~_POS) | np.arange(len(grams[GRAM]), dtype=np.uint64)
-    pos = (_least(key, length - GRAM + 1) & _POS).astype(np.int64)[:m]
+    key = (grams[gram] & ~_POS) | np.arange(len(grams[gram]), dtype=np.uint64)
+    pos = (_least(key, length - gram + 1) & _POS).astype(np.int64)[:m]
     piece = np.repeat(np.arange(len(pieces)), sizes)[:m]
     inside = np.arange(m) <= (first + sizes - length)[piece]
     at = np.flatnonzero(inside)
@@ -116,55 +119,49 @@ def _runs(pieces: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray
     context = _mix(whole[a] * np.uint64(0x9FB21C651E98DF25) + whole[a + n - 1] + n.astype(np.uint64))
     owner = piece[a]
     start = a - first[owner] + np.array([p[1] for p in pieces])[owner]
-    return np.array([p[0] for p in pieces])[owner], grams[GRAM][pos[a]].view(np.int64), context.view(np.int64), start.astype(np.int32), n.astype(np.int32)
+    return np.array([p[0] for p in pieces])[owner], grams[gram][pos[a]].view(np.int64), context.view(np.int64), start.astype(np.int32), n.astype(np.int32)
 
 
-def _count(length: int):
-    """(text, dk) -> (h, c, dk): the contexts."""
+def _occurrences(length: int, gram: int):
+    """(t, u, n, text) -> (h, c, t, u, n, off, wins, more): where each context is, one row for a text and context; `more` are the
+    offsets after the first, and n counts them all."""
 
     def run(batches):
         for b in batches:
-            for row, h, c, _, _ in _anchors(b.column(0).to_pylist(), length):
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), b.column(1).take(pa.array(row))], ["h", "c", "dk"])
-
-    return run
-
-
-def _occurrences(length: int):
-    """(text, did, th) -> (h, c, did, th, offs, wins): where each context is, one row for a text and context."""
-
-    def run(batches):
-        for b in batches:
-            for got in _anchors(b.column(0).to_pylist(), length):
+            weight = b.column(2).to_numpy(zero_copy_only=False)
+            for got in _anchors(b.column(3).to_pylist(), length, gram):
                 order = np.lexsort((got[3], got[2], got[1], got[0]))
-                row, h, c, start, n = (x[order] for x in got)
+                row, h, c, start, wins = (x[order] for x in got)
                 new = np.ones(len(row), bool)
                 new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1]) | (c[1:] != c[:-1])
                 first = np.flatnonzero(new)
-                ends = np.append(first, len(row)).astype(np.int32) * 4
-                offs = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(start))])
-                owner = pa.array(row[first])
-                yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(c[first]), b.column(1).take(owner), b.column(2).take(owner), offs, pa.array(n[first])], ["h", "c", "did", "th", "offs", "wins"])
+                times = np.diff(np.append(first, len(row)))
+                ends = np.append(0, np.cumsum(times - 1)).astype(np.int32) * 4
+                more = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(start[~new]))])
+                owner = row[first]
+                cols = [pa.array(h[first]), pa.array(c[first]), *(b.column(k).take(pa.array(owner)) for k in (0, 1)), pa.array(weight[owner] * times), pa.array(start[first]), pa.array(wins[first]), more]
+                yield pa.RecordBatch.from_arrays(cols, ["h", "c", "t", "u", "n", "off", "wins", "more"])
 
     return run
 
 
+_CONTEXT = {"h": pa.int64(), "c": pa.int64(), "n": pa.int64(), "bytes": pa.binary()}
+_FOUND = {"h": pa.int64(), "c": pa.int64(), "spans": pa.binary()}
+
+
 def _contexts(length: int, hot: bool):
-    """(did, th, text, rest, found) -> a row for each context that its text stands for, with its bytes: those of hot anchors or the others.
-    Repeated rows come to one task, or a few if there are very many; each gives its contexts once."""
+    """(t, u, text, chosen) -> a row for each context that its text stands for, with its bytes: those of hot anchors or the others.
+    Equal texts come to one task, or a few if there are very many; each task gives its contexts once."""
 
     def run(batches):
         done = set()
         for b in batches:
             held = []
-            for did, th, text, found in zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 4))):
-                if (did, th) in done:
+            for t, u, text, chosen in zip(*(b.column(b.schema.get_field_index(k)).to_pylist() for k in ("t", "u", "text", "chosen"))):
+                if (t, u) in done:
                     continue
-                done.add((did, th))
-                for f in found:
-                    if f["h"] is not None and f["hot"] == hot:
-                        off = int.from_bytes(f["offs"][:4], "little")
-                        held.append((f["h"], not f["whole"], did, th, off, text[off : off + f["wins"] + length - 1]))
+                done.add((t, u))
+                held += [(x["h"], x["c"], x["n"], text[x["off"] : x["off"] + x["wins"] + length - 1]) for x in chosen if x["hot"] == hot]
                 if len(held) > 20000:
                     yield _table(held, _CONTEXT)
                     held = []
@@ -174,15 +171,37 @@ def _contexts(length: int, hot: bool):
     return run
 
 
-_CONTEXT = {"h": pa.int64(), "single": pa.bool_(), "did": pa.int64(), "th": pa.int32(), "off": pa.int32(), "bytes": pa.binary()}
-_FOUND = {"did": pa.int64(), "th": pa.int32(), "offs": pa.binary(), "wins": pa.int32()}
-
-
 def _table(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
     cols = list(zip(*rows)) or [[] for _ in types]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types.values())], list(types))
 
 
+def _spans(at: np.ndarray) -> bytes:
+    """Window starts in order -> runs of them, as pairs (first, number) of 32-bit integers."""
+    new = np.flatnonzero(np.diff(at, prepend=-9) != 1)
+    return np.column_stack([at[new], np.diff(np.append(new, len(at)))]).astype("<i4").tobytes()
+
+
+def _starts(found: list[dict]) -> np.ndarray:
+    """Places of contexts with their spans -> (first, number) of each run of repeated windows in the text."""
+    out = []
+    for f in found:
+        spans = np.frombuffer(f["spans"], "<i4").reshape(-1, 2)
+        for off in (f["off"], *np.frombuffer(f["more"], "<i4").tolist()):
+            out.append(spans + [off, 0])
+    return np.concatenate(out)
+
+
+def _inner(batches):
+    """(t, u, found) -> (h, c, spans): what is found in contexts as texts, as spans of those contexts."""
+    for b in batches:
+        rows = []
+        for h, c, found in zip(*(b.column(k).to_pylist() for k in range(3))):
+            at = np.unique(np.concatenate([np.arange(a, a + n) for a, n in _starts(found).tolist()]))
+            rows.append((h, c, _spans(at)))
+        yield _table(rows, _FOUND)
+
+
 def merge_transforms(symbols: np.ndarray, nxt: np.ndarray, shard: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Merge the transforms of shards of symbol strings.
 
@@ -232,8 +251,8 @@ def merge_transforms(symbols: np.ndarray, nxt: np.ndarray, shard: np.ndarray, de
     return out[real], prefix[real]
 
 
-def _repeats(texts: list[bytes], length: int) -> list[np.ndarray]:
-    """For each context, its repeated windows (start offsets), by merging the transforms of shards of contexts."""
+def _repeats(texts: list[bytes], length: int, times: np.ndarray) -> list[np.ndarray]:
+    """For each context, which occurs so many times, its repeated windows (start offsets), by merging the transforms of shards of contexts."""
     depth = length // SYMBOL
     sizes = np.array([len(t) for t in texts])
     first = np.cumsum(sizes) - sizes
@@ -242,8 +261,8 @@ def _repeats(texts: list[bytes], length: int) -> list[np.ndarray]:
     owner = np.repeat(np.arange(len(texts)), sizes)[: len(h)]
     place = np.arange(len(h))
     inside = place <= (first + sizes - SYMBOL)[owner]
-    _, ids, count = np.unique(h, return_inverse=True, return_counts=True)
-    alive = inside & (count[ids] > 1)
+    _, ids = np.unique(h, return_inverse=True)
+    alive = inside & (np.bincount(ids, times[owner])[ids] > 1)
     # Only windows of symbols that all occur again can be repeated; the rest needs no rows.
     m = len(h) - (depth - 1) * SYMBOL
     none = [np.zeros(0, np.int64)] * len(texts)
@@ -267,7 +286,7 @@ def _repeats(texts: list[bytes], length: int) -> list[np.ndarray]:
     is_window = window[np.minimum(rows, m - 1)] & (rows < m)
     interval = np.cumsum(prefix < depth)
     w = is_window[order]
-    members = np.bincount(interval[w], minlength=interval[-1] + 1)
+    members = np.bincount(interval[w], times[owner[rows[order[w]]]], minlength=interval[-1] + 1)
     found = np.sort(rows[order[w & (members[interval] > 1)]])
     where = owner[found]
     cuts = np.searchsorted(where, np.arange(len(texts) + 1))
@@ -275,62 +294,42 @@ def _repeats(texts: list[bytes], length: int) -> list[np.ndarray]:
 
 
 def _merge(length: int):
-    """Contexts in order of h -> (did, th, offs, wins): repeated windows of the contexts that occur once."""
+    """Contexts in order of (h, c) -> (h, c, spans) of those with repeated windows."""
 
     def solve(rows: list[tuple]):
-        out = []
-        for (_, single, did, th, off, _), at in zip(rows, _repeats([r[5] for r in rows], length)):
-            if single and len(at):
-                cut = np.flatnonzero(np.diff(at, prepend=-9) != 1)
-                for a, b in zip(cut, np.append(cut[1:], len(at))):
-                    out.append((did, th, (off + int(at[a])).to_bytes(4, "little"), int(b - a)))
-        return _table(out, _FOUND)
+        found = _repeats([r[3] for r in rows], length, np.array([r[2] for r in rows], float))
+        return _table([(r[0], r[1], _spans(at)) for r, at in zip(rows, found) if len(at)], _FOUND)
 
     def run(batches):
         rows, held = [], 0
         for b in batches:
-            for r in zip(*(b.column(k).to_pylist() for k in range(6))):
+            for r in zip(*(b.column(k).to_pylist() for k in range(4))):
+                if rows and r[:2] == rows[-1][:2]:
+                    continue  # a context that two tasks gave
                 if held >= BLOCK and r[0] != rows[-1][0]:
                     yield solve(rows)
                     rows, held = [], 0
                 rows.append(r)
-                held += len(r[5])
+                held += len(r[3])
         if rows:
             yield solve(rows)
 
     return run
 
 
-def _windows(length: int):
-    """Contexts -> a row for each window, with its hash."""
-
-    def run(batches):
-        for b in batches:
-            for h, single, did, th, off, data in zip(*(b.column(k).to_pylist() for k in range(6))):
-                w = _grams(np.frombuffer(data, np.uint8), (length,))[length].view(np.int64)
-                at = (off + np.arange(len(w), dtype=np.int32)).astype("<i4").tobytes()
-                cols = [pa.array([x] * len(w), t) for x, t in zip((h, single, did, th), _CONTEXT.values())]
-                offs = pa.array([at[k : k + 4] for k in range(0, len(at), 4)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*cols, offs, pa.array(w)], ["h", "single", "did", "th", "offs", "w"])
-
-    return run
-
-
 def _removal(length: int, with_text: bool):
-    """(rest, text, found, more) -> rest and what is removed."""
+    """(rest, text, found) -> rest and what is removed."""
 
     def run(batches):
         for b in batches:
             stats, kept = [], []
-            for text, found, more in zip(*(b.column(k).to_pylist() for k in (1, 2, 3))):
-                text, left, runs = text or b"", text or b"", 0
-                found = [f for f in found or () if f["whole"]] + (more or [])
+            for text, found in zip(*(b.column(k).to_pylist() for k in (1, 2))):
+                left, runs = text, 0
                 if found:
                     change = np.zeros(len(text) + 1, np.int64)
-                    for offs, wins in ((f["offs"], f["wins"]) for f in found):
-                        at = np.frombuffer(offs, "<i4")
-                        np.add.at(change, at, 1)
-                        np.add.at(change, at + wins + length - 1, -1)
+                    at, wins = _starts(found).T
+                    np.add.at(change, at, 1)
+                    np.add.at(change, at + wins + length - 1, -1)
                     gone = np.cumsum(change[:-1]) > 0
                     runs = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
                     left = np.frombuffer(text, np.uint8)[~gone].tobytes()
@@ -346,45 +345,52 @@ def _removal(length: int, with_text: bool):
     return run
 
 
-def repeated_passages(docs: DataFrame, length: int = 200, max_contexts: int = 4000, with_text: bool = False) -> DataFrame:
+def _found(rows: DataFrame, length: int, grams: list[int], most: int) -> DataFrame:
+    """rows (t, u, n, text, ...), the texts known by t and u, each row counting n times -> (t, u, found: places of contexts in the
+    text, with the spans of their repeated windows), one row for each text with any."""
+    gram, *longer = grams
+    places = written(rows.select("t", "u", "n", "text").mapInArrow(_occurrences(length, gram), "h long, c long, t long, u long, n long, off int, wins int, more binary"))
+    again = places.groupBy("h").agg(F.sum("n").alias("total")).where("total > 1").select("h")
+    seen = written(places.join(again, "h", "left_semi"))
+    drop(places)
+    # Each different context, how often it occurs, and the place that stands for it.
+    contexts = seen.groupBy("h", "c").agg(F.sum("n").alias("n"), F.min(F.struct("t", "u", "off", "wins")).alias("at"))
+    contexts = cut(contexts.select("h", "c", "n", "at.t", "at.u", "at.off", "at.wins"))
+    hot = cut(contexts.groupBy("h").count().where(F.col("count") > most).select("h", F.lit(True).alias("hot")))
+    any_hot = hot.count()
+    chosen = contexts.join(hot, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False))) if any_hot else contexts.withColumn("hot", F.lit(False))
+    chosen = chosen.groupBy("t", "u").agg(F.collect_list(F.struct("h", "c", "n", "off", "wins", "hot")).alias("chosen"))
+    texts = rows.join(chosen.hint("shuffle_hash"), ["t", "u"])
+    names = "h long, c long, n long, bytes binary"
+    spans = texts.mapInArrow(_contexts(length, False), names).repartition("h").sortWithinPartitions("h", "c").mapInArrow(_merge(length), "h long, c long, spans binary")
+    if any_hot:
+        inner = written(texts.mapInArrow(_contexts(length, True), names).dropDuplicates(["h", "c"]))
+        inner = inner.select(F.col("h").alias("t"), F.col("c").alias("u"), "n", F.col("bytes").alias("text"))
+        spans = spans.union(_found(inner, length, longer, most).mapInArrow(_inner, "h long, c long, spans binary"))
+    found = seen.select("h", "c", "t", "u", "off", "more").join(spans.hint("shuffle_hash"), ["h", "c"])
+    # A set: places of equal texts are the same.
+    return found.groupBy("t", "u").agg(F.collect_set(F.struct("off", "more", "spans")).alias("found"))
+
+
+def repeated_passages(docs: DataFrame, length: int = 200, most: int = MOST, with_text: bool = False) -> DataFrame:
     """docs (doc_id, text, ...) -> (rest: struct of all columns but text, n_bytes, n_removed, n_spans, kept_sha256),
     one row per row of docs; with_text adds `kept`, the remaining bytes as text, without partial characters.
 
     Removed is each byte under a window of `length` bytes whose like starts anywhere else. Null texts are
-    empty; empty and short texts lose nothing. Repeated rows repeat each other. Null ids are allowed;
-    other columns are carried along whatever their names. `length` is a multiple of SYMBOL, at least
+    empty; empty and short texts lose nothing; long texts are scanned in overlapping pieces and lose all that is repeated. Repeated
+    rows repeat each other, wholly; there are no ties to break. Ids may be null, repeated or of any type, as a text is known by its
+    bytes; other columns are carried along whatever their names. `length` is a multiple of SYMBOL, at least
     2 * SYMBOL. An empty table gives no rows.
     """
     if length % SYMBOL or length < 2 * SYMBOL:
         raise ValueError(f"length must be a multiple of {SYMBOL}, at least {2 * SYMBOL}")
     session(docs.sparkSession)
     rest = F.struct(*[c for c in docs.columns if c != "text"])
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("did"), F.hash("text").alias("th"), F.col("text").cast("binary").alias("text"), rest.alias("rest"))
-    owner = F.hash("did", "th")  # of a context's texts, the one with the least such number stands for it
-
-    contexts = base.select("text", owner.alias("dk")).mapInArrow(_count(length), "h long, c long, dk int")
-    contexts = contexts.groupBy("h", "c").agg(F.count("*").alias("n"), F.min("dk").alias("dk"))
-    # The filter names dk, which is never null, so that both uses of the contexts read one shuffle.
-    anchors = contexts.groupBy("h").agg(F.count("*").alias("nd"), F.sum("n").alias("total"), F.min("dk").alias("dk")).where("total > 1 or dk is null").select("h", "nd")
-    known = cut(contexts.join(anchors, "h").select("h", "c", "dk", (F.col("n") > 1).alias("whole"), "nd"))
-
-    places = base.select("text", "did", "th").mapInArrow(_occurrences(length), "h long, c long, did long, th int, offs binary, wins int")
-    places = places.join(known.hint("shuffle_hash"), ["h", "c"])
-    stands = (F.col("nd") > 1) & (F.col("dk") == owner)
-    place = F.struct("offs", "wins", "whole", F.when(stands, F.col("h")).alias("h"), (F.col("nd") > max_contexts).alias("hot"))
-    places = places.select("did", "th", place.alias("p")).groupBy("did", "th").agg(F.collect_list("p").alias("found"))
-    texts = base.join(places.hint("shuffle_hash"), ["did", "th"], "left").select("did", "th", "text", "rest", "found")
-
-    names = "h long, single boolean, did long, th int, off int, bytes binary"
-    chosen = texts.where("found is not null and exists(found, p -> p.h is not null)")
-    parts = [chosen.mapInArrow(_contexts(length, False), names).repartition("h").sortWithinPartitions("h").mapInArrow(_merge(length), "did long, th int, offs binary, wins int")]
-    if known.where(F.col("nd") > max_contexts).limit(1).count():
-        windows = chosen.mapInArrow(_contexts(length, True), names).mapInArrow(_windows(length), "h long, single boolean, did long, th int, offs binary, w long")
-        again = windows.groupBy("h", "w").agg(F.count("*").alias("times")).where("times > 1").select("h", "w")
-        parts.append(windows.where("single").join(again, ["h", "w"]).select("did", "th", "offs", F.lit(1).alias("wins")))
-    more = parts[0].union(parts[-1]) if len(parts) > 1 else parts[0]
-    more = more.groupBy("did", "th").agg(F.collect_list(F.struct("offs", "wins")).alias("more"))
-    out = texts.join(more.hint("shuffle_hash"), ["did", "th"], "left").select("rest", "text", "found", "more")
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    base = docs.select(F.xxhash64("text").alias("t"), F.hash("text").cast("long").alias("u"), F.lit(1).cast("long").alias("n"), text.alias("text"), rest.alias("rest"))
+    grams = [GRAM, length // 2, length * 4 // 5, length * 19 // 20, length]
+    found = _found(base, length, grams, most)
+    out = base.join(found.hint("shuffle_hash"), ["t", "u"], "left").select("rest", "text", "found")
     kind = out.schema["rest"].dataType.simpleString()
     return out.mapInArrow(_removal(length, with_text), f"rest {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
 
