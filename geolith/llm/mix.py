@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from geolith.llm.common import WORD, cut, session
 
 WEIGHTS = (1, 2, 3)
-#: Budget that is left to the dynamic program, in words.
+#: Budget that is left to the dynamic program, in words, where documents are shorter; else it is less than the longest one left.
 REMAINING = 1 << 16
+#: Rows that are broadcast at most.
+SMALL = 200_000
 
 
 def targets(sizes: dict, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> dict:
@@ -80,7 +82,7 @@ def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, most
 
     A size is the number of words (null text: 0). Rows with null source are a source of their own, the last.
     Rows of the same id and text share a ticket: beyond whole passes they are taken together or not at all,
-    then staying below the budget. Empty texts are taken in proportion and change nothing. Only one row
+    then staying below the budget. Long texts count as a whole. Columns of docs may have any names. Empty texts are taken in proportion and change nothing. Only one row
     for each source reaches the driver: the targets are a parameter table of that size. An
     empty table gives no rows.
     """
@@ -118,7 +120,8 @@ def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, most
     quota = quota.join(last, F.col("source").eqNullSafe(F.col("ls")) & (F.col("size") == F.col("lz")), "left")
     upto = F.when(F.col("take") >= F.col("count"), highest).when(F.col("take") > 0, F.coalesce("last", lowest))
     quota = cut(quota.select(F.col("source").alias("s"), F.col("size").alias("z"), "source_size", "target", "passes", upto.alias("last")))
-    out = sized.join(quota, of_length)
+    # One row for each source and length: it goes to the rows as long as it is small, so that no text is shuffled.
+    out = sized.join(F.broadcast(quota) if quota.count() <= SMALL else quota, of_length)
     times = F.col("passes") + F.coalesce((F.col("ticket") <= F.col("last")).cast("long"), F.lit(0))
     return out.select("row", "size", "source_size", "target", times.alias("times"))
 

@@ -12,12 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geolith.llm.common import WORD, cut, session
+from geolith.llm.common import WORD, cut, session, written
 
 #: Part of a group that an estimate rests on, concentration steps, and rows below which groups are pooled.
 SHARE, STEPS, LEAST = 0.75, 3, 100
-#: A statistic counts in steps of 1 / SCALE. Deviations below FLOOR are no evidence, however uniform a group is.
-SCALE, FLOOR = 256, (0.30, 0.05, 0.30, 0.20, 0.20)
+#: A statistic counts in steps of 1 / SCALE. Deviations below FLOOR are no evidence, however uniform a group is. The last two floors leave
+#: room for a rejection by repeated lines alone (over 92 % of them) and by repeated words alone (over 48 %; the base rule takes 50 %).
+SCALE, FLOOR = 256, (0.30, 0.05, 0.30, 0.16, 0.115)
 #: Chi-square with 5 degrees of freedom, quantile 0.999999, and the consistency factor of a share of 0.75.
 CUTOFF, CONSISTENCY = 35.89, 1.413
 DIM = len(FLOOR)
@@ -38,17 +39,22 @@ def base_counts(docs: DataFrame) -> DataFrame:
             "hashes": F.transform("words", lambda x: F.xxhash64(x)),
         }
     ).drop("words", "lines")
-    # Windows of three words as (hash, position) in one number: the position takes as many bits as n_words needs.
+    # Windows of three words as (part of a hash, position) in one number: the position takes as many bits as n_words needs.
+    # What agrees in that part is a candidate; candidates are sorted again by two whole hashes, whatever the length of the text.
     bits = F.length(F.bin("n_words"))
     at = F.when(F.col("n_words") >= 3, F.sequence(F.lit(0), F.col("n_words").cast("int") - 3)).otherwise(F.array().cast("array<int>"))
     out = out.withColumn("bits", bits)
     window = lambda i: F.xxhash64(F.get("hashes", i), F.get("hashes", i + 1), F.get("hashes", i + 2))
-    out = out.withColumn("sorted", F.sort_array(F.transform(at, lambda i: F.call_function("shiftleft", window(i), F.col("bits")).bitwiseOR(i.cast("long"))))).drop("hashes")
+    other = lambda i: F.hash(F.get("hashes", i + 2), F.get("hashes", i), F.get("hashes", i + 1))
+    out = out.withColumn("sorted", F.sort_array(F.transform(at, lambda i: F.call_function("shiftleft", window(i), F.col("bits")).bitwiseOR(i.cast("long")))))
     high = lambda x: F.call_function("shiftright", x, F.col("bits"))
     like = lambda x, i: F.coalesce(high(x) == high(F.get("sorted", i)), F.lit(False))
     twice = F.filter("sorted", lambda x, i: like(x, i - 1) | like(x, i + 1))
     low = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) - 1)
-    out = out.withColumn("twice", F.sort_array(F.transform(twice, low))).drop("sorted", "bits")
+    whole = lambda x: F.struct(window(low(x)).alias("h"), other(low(x)).alias("g"), low(x).alias("i"))
+    out = out.withColumn("found", F.sort_array(F.transform(twice, whole))).drop("sorted", "bits", "hashes")
+    same = lambda x, i: F.coalesce((x["h"] == F.get("found", i)["h"]) & (x["g"] == F.get("found", i)["g"]), F.lit(False))
+    out = out.withColumn("twice", F.sort_array(F.transform(F.filter("found", lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["i"]))).drop("found")
     covers = F.transform("twice", lambda p, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get("twice", i + 1) - p, F.lit(3).cast("long"))))
     out = out.withColumn("n_repeat_words", F.aggregate(covers, F.lit(0).cast("long"), lambda a, x: a + x)).drop("twice")
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
@@ -117,19 +123,28 @@ def mcd(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     return _small(estimate)
 
 
+def _names(docs: DataFrame) -> tuple[Column, Column]:
+    """Language and source as keys that are never null."""
+    lang = F.concat(F.lit("l"), F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit("")))
+    return lang, F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+
+
 def judged(docs: DataFrame, carry: bool = False) -> DataFrame:
     """docs (doc_id, text, lang, source, ...) -> base counts, base_failed, distance (squared; null without an
     estimate) and kept, one row per row of docs; with carry, `row` is a struct of all columns.
 
     Null texts have no words and fail. Null languages and sources are groups like others. A group with fewer than
     LEAST rows that pass the base rules is pooled with the small groups of its language, then with all that are
-    small; below LEAST even then, the base rules alone decide. Other columns are ignored, whatever
+    small; below LEAST even then, the base rules alone decide. Texts of any length are counted exactly. Repeated rows count each and
+    get the same verdict; rows at equal distance are taken together, so ties decide nothing. Other columns are ignored, whatever
     their names. An empty table gives no rows.
     """
     session(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").alias("doc_id"), "text", F.concat(F.lit("l"), F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit(""))).alias("lang"), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("source"), F.xxhash64("text").alias("th"))
-    stats = base_counts(rows).drop("text")
-    stats = cut(stats.withColumns({f"x{i}": x for i, x in enumerate(statistics())}))
+    lang, source = _names(docs)
+    row = [F.struct(*docs.columns).alias("row")] if carry else []
+    stats = base_counts(docs.select(F.col("doc_id").alias("doc_id"), "text", lang.alias("lang"), source.alias("source"), *row)).drop("text")
+    stats = stats.withColumns({f"x{i}": x for i, x in enumerate(statistics())})
+    stats = written(stats) if carry else cut(stats)
     usable = stats.where("not base_failed")
     size = usable.groupBy("lang", "source").agg(F.count("*").alias("n"))
     w, every = Window.partitionBy("lang", F.col("n") >= LEAST), Window.partitionBy("pooled")
@@ -148,10 +163,6 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def passing(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep. A verdict belongs to an id, text, language and source, so repeated rows share it."""
-    key = lambda lang, source, th: F.xxhash64("doc_id", lang, source, th)
-    marks = judged(docs).where("kept").select(F.col("doc_id").cast("string").alias("k_id"), F.col("th").alias("k_th"), F.col("lang").alias("k_lang"), F.col("source").alias("k_source"))
-    lang = F.concat(F.lit("l"), F.coalesce(F.concat(F.lit("="), docs["lang"].cast("string")), F.lit("")))
-    source = F.coalesce(F.concat(F.lit("="), docs["source"].cast("string")), F.lit(""))
-    same = docs["doc_id"].cast("string").eqNullSafe(F.col("k_id")) & (F.xxhash64(docs["text"]) == F.col("k_th")) & (lang == F.col("k_lang")) & (source == F.col("k_source"))
-    return docs.join(marks, same, "left_semi")
+    """The rows of docs that the rules keep, with the columns of docs, as `judged` decides in every case it names. The rows are written
+    once with their counts, and met by their verdict where they are: no text is shuffled."""
+    return judged(docs, carry=True).where("kept").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from geolith.llm.common import cut, drop, session, written
 
 GRAM, SYMBOL = 32, 50
-#: Different contexts of an anchor that are merged in one task.
-MOST = 1000
+#: Different contexts of an anchor that are merged in one task: what fills about one block. Rows that are broadcast at most.
+MOST, SMALL = 4000, 200_000
 #: A text is scanned in pieces of so many windows, and short texts together up to so many bytes.
 PIECE, GATHER = 1 << 22, 1 << 18
 #: Bytes of contexts that are merged at once, and shards they are cut into.
@@ -149,8 +149,8 @@ _CONTEXT = {"h": pa.int64(), "c": pa.int64(), "n": pa.int64(), "bytes": pa.binar
 _FOUND = {"h": pa.int64(), "c": pa.int64(), "spans": pa.binary()}
 
 
-def _contexts(length: int, hot: bool):
-    """(t, u, text, chosen) -> a row for each context that its text stands for, with its bytes: those of hot anchors or the others.
+def _contexts(length: int):
+    """(t, u, text, chosen) -> a row for each context that its text stands for, with its bytes.
     Equal texts come to one task, or a few if there are very many; each task gives its contexts once."""
 
     def run(batches):
@@ -161,7 +161,7 @@ def _contexts(length: int, hot: bool):
                 if (t, u) in done:
                     continue
                 done.add((t, u))
-                held += [(x["h"], x["c"], x["n"], text[x["off"] : x["off"] + x["wins"] + length - 1]) for x in chosen if x["hot"] == hot]
+                held += [(x["h"], x["c"], x["n"], text[x["off"] : x["off"] + x["wins"] + length - 1]) for x in chosen]
                 if len(held) > 20000:
                     yield _table(held, _CONTEXT)
                     held = []
@@ -356,15 +356,21 @@ def _found(rows: DataFrame, length: int, grams: list[int], most: int) -> DataFra
     # Each different context, how often it occurs, and the place that stands for it.
     contexts = seen.groupBy("h", "c").agg(F.sum("n").alias("n"), F.min(F.struct("t", "u", "off", "wins")).alias("at"))
     contexts = cut(contexts.select("h", "c", "n", "at.t", "at.u", "at.off", "at.wins"))
-    hot = cut(contexts.groupBy("h").count().where(F.col("count") > most).select("h", F.lit(True).alias("hot")))
+    hot = cut(contexts.groupBy("h").count().where(F.col("count") > most).select("h"))
     any_hot = hot.count()
-    chosen = contexts.join(hot, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False))) if any_hot else contexts.withColumn("hot", F.lit(False))
-    chosen = chosen.groupBy("t", "u").agg(F.collect_list(F.struct("h", "c", "n", "off", "wins", "hot")).alias("chosen"))
-    texts = rows.join(chosen.hint("shuffle_hash"), ["t", "u"])
     names = "h long, c long, n long, bytes binary"
-    spans = texts.mapInArrow(_contexts(length, False), names).repartition("h").sortWithinPartitions("h", "c").mapInArrow(_merge(length), "h long, c long, spans binary")
+
+    def of_texts(some: DataFrame) -> DataFrame:
+        return some.groupBy("t", "u").agg(F.collect_list(F.struct("h", "c", "n", "off", "wins")).alias("chosen"))
+
+    hot = F.broadcast(hot) if any_hot <= SMALL else hot
+    few = contexts.join(hot, "h", "left_anti") if any_hot else contexts
+    texts = rows.join(of_texts(few).hint("shuffle_hash"), ["t", "u"])
+    spans = texts.mapInArrow(_contexts(length), names).repartition("h").sortWithinPartitions("h", "c").mapInArrow(_merge(length), "h long, c long, spans binary")
     if any_hot:
-        inner = written(texts.mapInArrow(_contexts(length, True), names).dropDuplicates(["h", "c"]))
+        many = cut(contexts.join(hot, "h", "left_semi"))
+        many = F.broadcast(of_texts(many)) if many.count() <= SMALL else of_texts(many).hint("shuffle_hash")
+        inner = written(rows.join(many, ["t", "u"]).mapInArrow(_contexts(length), names).dropDuplicates(["h", "c"]))
         inner = inner.select(F.col("h").alias("t"), F.col("c").alias("u"), "n", F.col("bytes").alias("text"))
         spans = spans.union(_found(inner, length, longer, most).mapInArrow(_inner, "h long, c long, spans binary"))
     found = seen.select("h", "c", "t", "u", "off", "more").join(spans.hint("shuffle_hash"), ["h", "c"])

@@ -70,6 +70,32 @@ def test_base_counts_and_verdicts(spark):
     assert Counter(r["doc_id"] for r in out.collect()) == Counter(r["doc_id"] for r in got if r["kept"])
 
 
+def test_repeated_lines_alone_are_rejected(spark):
+    """Each statistic can reach the cutoff by itself: a clean text above hundreds of equal short lines."""
+    rng = random.Random(12)
+    rows = [(k, "\n".join(words(rng, 15) for _ in range(8)), "en", "a") for k in range(150)]
+    rows += [(500, "\n".join([words(rng, 1400), *["menu"] * 2, *["home page"] * 700]), "en", "a"), (501, "\n".join(f"{w} {x}\n{w} {x}" for w, x in zip(words(rng, 900).split(), words(rng, 900).split())), "en", "a")]
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(frame(spark, rows)).collect()}
+    assert all(got[k]["kept"] for k in range(150))
+    assert not got[500]["kept"] and got[500]["n_dup_lines"] > 690
+
+
+def test_counts_do_not_depend_on_length(spark):
+    """Windows that agree in the part of their hash that is sorted by are told apart by the whole of it."""
+    one = spark.range(1).select(F.lit(1).alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(400000)), lambda x: F.conv(x.cast("string"), 10, 36)), " ").alias("text"))
+    two = one.select("doc_id", F.concat("text", F.lit(" a b c d a b c")).alias("text"))
+    assert [quality_rules.base_counts(x).first()["n_repeat_words"] for x in (one, two)] == [0, 6]
+
+
+def test_passing_with_clashing_names(spark):
+    rows = documents(150, 3)
+    df = frame(spark, rows).withColumnsRenamed({"n_words": "k_id", "grp": "k_th", "size": "k_lang", "last": "k_source", "piece": "x0", "words": "m0", "host": "l00"})
+    got = quality_rules.passing(df)
+    assert got.columns == df.columns
+    want = quality_rules.quality_rules(df).where("kept")
+    assert Counter(r["doc_id"] for r in got.collect()) == Counter(r["doc_id"] for r in want.collect())
+
+
 def test_rules_on_few_rows_and_none(spark):
     assert quality_rules.quality_rules(frame(spark, [])).count() == 0
     few = [(1, words(random.Random(1), 70), None, None), (2, "short", None, "x")]
