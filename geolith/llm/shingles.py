@@ -1,11 +1,16 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, exact.
+"""Near-duplicates by the Jaccard similarity of word shingles, exact: SimHash links first, then what they can't reach.
 
-A text's shingles are the different XXH64 values of its runs of `width` words. In the order of those values, two sets of
+A text's shingles are the different XXH64 values of its runs of `width` words. Texts whose SimHash fingerprints are
+within a few bits (the generalised pigeonhole join of `simhash`) are verified on their sets; so are texts that share a rare
+value with the least of its texts. That links the large groups with few pairs. A fingerprint of 64 bits can't reach a similarity of
+0.8, where about ten bits differ, so what is left is searched exactly: in any common order of the values, two sets of
 a and b values with a similarity of at least t share one among the first a - ceil(t a) + 1 and b - ceil(t b) + 1, so
-texts that meet under such a value are all the candidates there are. Candidates whose sizes or positions rule the
-similarity out are dropped, and those whose sketches differ in more bits than the sets may: a sketch holds the parity of
-the values under each of BITS numbers, so two sketches differ in no more bits than the sets in values. The others are
-verified on their whole sets.
+texts that meet under such a value and aren't linked yet are all the candidates there are. The order begins with the values that a sample
+of the texts doesn't hold, and ends with the commonest; it decides the cost, not the result.
+
+Candidates whose sizes or positions rule the similarity out are dropped, and those whose sketches differ in more bits than the sets
+may: a sketch holds the parity of the values under each of BITS numbers, so two sketches differ in no more bits than the sets in
+values. The others are verified on their whole sets.
 """
 
 from __future__ import annotations
@@ -16,16 +21,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geolith.llm.common import cut, session
+from geolith.llm.common import cut, session, written
 from geolith.llm.components import components
+from geolith.llm.simhash import fingerprint_links
 
 WIDTH, SIMILARITY = 5, 0.8
-#: Bits of a sketch, a multiple of 64.
-BITS = 1024
+#: Bits of a sketch, a multiple of 64; bits that SimHash links differ in at most.
+BITS, RADIUS = 1024, 4
+#: Texts in the sample that the order of the values rests on, about, and values that it ranks; rows that are broadcast at most.
+SAMPLE, RANKED, SMALL = 20_000, 200_000, 200_000
 
 
-def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
-    """The different values in order. Texts of fewer words have one shingle, texts without words (or null) none."""
+def _values(text: bytes | None, width: int) -> np.ndarray:
+    """The value of each run of `width` words. Texts of fewer words have one, texts without words (or null) none."""
     words = text.lower().split() if text else []
     if not words:
         return np.zeros(0, np.int64)
@@ -33,7 +41,20 @@ def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[: max(n - width + 1, 1)].tolist()
     h = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((h(joined[s:e], 42) for s, e in zip(starts, ends[min(width, n) - 1 :].tolist())), np.uint64, len(starts)).view(np.int64))
+    return np.fromiter((h(joined[s:e], 42) for s, e in zip(starts, ends[min(width, n) - 1 :].tolist())), np.uint64, len(starts)).view(np.int64)
+
+
+def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
+    """The different values in order."""
+    return np.unique(_values(text, width))
+
+
+def _majority(values: np.ndarray) -> int:
+    """The SimHash fingerprint of all values, repeats included, as a signed number."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(values), 1 << 16):
+        ones += np.unpackbits(values[k : k + (1 << 16)].astype(">i8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(values)).tobytes(), "big", signed=True)
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -41,15 +62,35 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
 
 
-def _prefixes(width: int, similarity: float):
-    """(id, th, text) -> (id, th, sh: a hash of the set, size, first: the values under which the text is looked for)."""
+def common_values(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """rows (th, text) -> the values that three texts of a sample have at least, in order, and in how many: RANKED of them at most."""
+    share = (SAMPLE << 20) // max(rows.count(), 1)
+    some = rows.where(F.pmod(F.xxhash64("th"), F.lit(1 << 20)) < share)
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(t, width) for t in b.column(0).to_pylist()] or [np.zeros(0, np.int64)]))], ["v"])
+
+    got = some.select("text").mapInArrow(run, "v long").groupBy("v").agg(F.count("*").alias("n")).where("n >= 3").orderBy(F.desc("n"), "v").limit(RANKED).toArrow().sort_by("v")
+    return got["v"].to_numpy(), got["n"].to_numpy()
+
+
+def _prefixes(width: int, similarity: float, common: tuple[np.ndarray, np.ndarray]):
+    """(id, th, text) -> (id, th, sh: a hash of the set, size, fp, first: the values under which the text is looked for)."""
+    known, times = (np.append(x, y) for x, y in zip(common, (np.iinfo(np.int64).max, 0)))
+
+    def first(s: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(known, s)
+        rank = np.where(known[at] == s, times[at], 0)
+        return s[np.lexsort((s, rank))[: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1]]
 
     def run(batches):
         for b in batches:
-            sets = [shingles(t, width) for t in b.column(2).to_pylist()]
+            values = [_values(t, width) for t in b.column(2).to_pylist()]
+            sets = [np.unique(v) for v in values]
             sh = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64))
-            first = [s[: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1] for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sh, pa.array([len(s) for s in sets], pa.int32()), _lists(first)], ["id", "th", "sh", "size", "first"])
+            cols = [b.column(0), b.column(1), sh, pa.array([len(s) for s in sets], pa.int32()), pa.array([_majority(v) for v in values], pa.int64()), _lists([first(s) for s in sets])]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "th", "sh", "size", "fp", "first"])
 
     return run
 
@@ -67,19 +108,21 @@ def _sets(width: int):
 
 
 def _meet(similarity: float):
-    """(key, pos, size, sh) in order of key -> candidates (a, b). A key's rows may span batches."""
-
-    def solve(key, pos, size, sh):
-        group = np.append(np.flatnonzero(np.diff(key)) + 1, len(key))
-        end = np.repeat(group, np.diff(np.append(0, group)))
-        row, d, out = np.arange(len(key)), 1, []
-        while len(row := row[row + d < end[row]]):
-            o = row + d
+    """(key, root, pos, size, sh) in order of key and root -> candidates (a, b) of different roots. A key's rows may span batches."""
+
+    def solve(key, root, pos, size, sh):
+        new = np.append(np.flatnonzero(np.diff(key)) + 1, len(key))
+        end = np.repeat(new, np.diff(np.append(0, new)))
+        same = np.append(np.flatnonzero((np.diff(key) != 0) | (np.diff(root) != 0)) + 1, len(key))
+        other = np.repeat(same, np.diff(np.append(0, same)))  # the first row of the next root
+        row, out = np.arange(len(key)), []
+        while len(row := row[other[row] < end[row]]):
+            o = other[row]
             shared = np.ceil((size[row].astype(np.int64) + size[o]) * (similarity / (1 + similarity)) - 1e-9)
-            ok = (sh[row] != sh[o]) & (np.minimum(size[row] - pos[row], size[o] - pos[o]) >= shared)
+            ok = np.minimum(size[row] - pos[row], size[o] - pos[o]) >= shared
             if ok.any():
                 out.append((sh[row[ok]], sh[o[ok]]))
-            d += 1
+            other[row] += 1
         a, b = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
@@ -88,7 +131,7 @@ def _meet(similarity: float):
         for b in batches:
             if not b.num_rows:
                 continue
-            now = [b.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            now = [b.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
             held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
             last = int(np.searchsorted(held[0], held[0][-1]))
             if last:
@@ -100,19 +143,14 @@ def _meet(similarity: float):
     return run
 
 
-def similar_pairs(each: DataFrame, texts: DataFrame, width: int, similarity: float, block: int = 4096) -> DataFrame:
-    """each (sh, size, first), one row for each set, and texts (sh, text) -> pairs (a, b) of sets that are similar.
-    Values with more than `block` sets are dealt out as pairs of blocks, so no task gets them whole."""
-    rows = each.select("sh", "size", F.posexplode("first").alias("pos", "key"))
-    hot = cut(rows.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
-    if hot.count():
-        own, other = F.pmod(F.xxhash64("sh"), F.col("blocks")), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        rows = rows.join(hot, "key", "left").select("key", "pos", "size", "sh", F.coalesce("blocks", F.lit(1)).alias("blocks")).select("*", own.alias("x"), other.alias("y"))
-        rows = rows.select(F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y")).alias("key"), "pos", "size", "sh")
-    near = rows.select("key", "pos", "size", "sh").repartition("key").sortWithinPartitions("key").mapInArrow(_meet(similarity), "a long, b long")
-    near = cut(near.distinct())
+def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
+    """pairs (a, b) of sets of classes (sh, id, th) whose texts are in rows (id, th, text) -> those that are similar, written."""
+    near = cut(pairs.distinct())
     wanted = near.select(F.col("a").alias("sh")).union(near.select(F.col("b").alias("sh"))).distinct()
-    sets = cut(texts.join(wanted, "sh", "left_semi").mapInArrow(_sets(width), "sh long, n int, set array<long>, sketch array<long>"))
+    wanted = cut(classes.join(wanted, "sh", "left_semi").select("id", "th", "sh"))
+    wanted = F.broadcast(wanted) if wanted.count() <= SMALL else wanted
+    texts = rows.join(wanted, ["id", "th"]).dropDuplicates(["id", "th"]).select("sh", "text")
+    sets = written(texts.mapInArrow(_sets(width), "sh long, n int, set array<long>, sketch array<long>"))
     drawn = near
     for side in "ab":
         drawn = drawn.join(sets.select(F.col("sh").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
@@ -120,23 +158,52 @@ def similar_pairs(each: DataFrame, texts: DataFrame, width: int, similarity: flo
     near = cut(drawn.where(bits <= (F.col("na") + F.col("nb")) * ((1 - similarity) / (1 + similarity)) + 1e-6).select("a", "b"))
     both = near.join(sets.select(F.col("sh").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("sh").alias("b"), F.col("set").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
+    return cut(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b"))
+
+
+def _first_pairs(classes: DataFrame, met: DataFrame, similarity: float) -> DataFrame:
+    """Few pairs that link most of what is linked: SimHash links, and each text with the least text of about its size under a value."""
+    of_fp = classes.groupBy("fp").agg(F.min("sh").alias("rep"))
+    alike = classes.join(of_fp, "fp").where("sh <> rep").select(F.col("rep").alias("a"), F.col("sh").alias("b"))
+    links = fingerprint_links(of_fp.select("fp"), RADIUS)
+    rep = lambda side: of_fp.select(F.col("fp").alias(side), F.col("rep").alias(f"r{side}"))
+    links = links.distinct().join(rep("a"), "a").join(rep("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    sized = met.withColumn("band", F.floor(-F.log("size") / F.log(F.lit(similarity))).cast("int"))
+    least = sized.groupBy("key", "band").agg(F.min("sh").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    star = sized.join(least, ["key", "band"]).where("sh <> least").select(F.col("least").alias("a"), F.col("sh").alias("b"))
+    return alike.union(links).union(star).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def similar_links(classes: DataFrame, rows: DataFrame, width: int, similarity: float, block: int = 4096) -> DataFrame:
+    """classes (sh, id, th, size, fp, first), one row for each set, and rows (id, th, text) -> (node, root): the components of
+    similar sets. Values with more than `block` sets are dealt out as pairs of blocks, so no task gets them whole."""
+    every = classes.select("sh", "size", F.posexplode("first").alias("pos", "key"))
+    again = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    met = written(every.join(again, "key", "left_semi"))
+    first = verified(_first_pairs(classes, met, similarity), classes, rows, width, similarity)
+    linked = met.join(components(first), F.col("sh") == F.col("node"), "left").select("key", F.coalesce("root", "sh").alias("root"), "pos", "size", "sh")
+    linked = cut(linked)
+    open_keys = linked.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    open_keys = cut(open_keys.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    own, other = F.pmod(F.xxhash64("sh"), F.col("blocks")), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = linked.join(open_keys, "key").select("*", own.alias("x"), other.alias("y"))
+    dealt = dealt.select(F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y")).alias("key"), "root", "pos", "size", "sh")
+    rest = dealt.repartition("key").sortWithinPartitions("key", "root").mapInArrow(_meet(similarity), "a long, b long")
+    return components(first.union(verified(rest, classes, rows, width, similarity)))
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, block: int = 4096) -> DataFrame:
     """The rows of docs (doc_id, text, ...) that stand for their component of similar texts: those with its least id, one
-    of them if rows repeat. A component without any id keeps one row. Null texts and texts without words are alike.
-    Other columns are carried along. An empty table gives no rows."""
+    of them if rows repeat. A component without any id keeps one row. Null texts and texts without words are alike. Long texts are
+    compared whole. Ids that aren't numbers are missing. Other columns are carried along whatever their names. An empty table gives no rows."""
     session(docs.sparkSession)
-    own, th = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))), F.xxhash64("text")
+    own, th = F.coalesce(F.col("doc_id").try_cast("long"), F.lit(-(1 << 62))), F.xxhash64("text")
     rows = docs.select(own.alias("id"), th.alias("th"), F.col("text").cast("binary").alias("text"))
-    each = cut(rows.mapInArrow(_prefixes(width, similarity), "id long, th long, sh long, size int, first array<long>"))
+    each = written(rows.mapInArrow(_prefixes(width, similarity, common_values(rows, width)), "id long, th long, sh long, size int, fp long, first array<long>"))
     # Missing ids come last here: a component keeps one of them only if it has no other.
     least = F.min(F.struct((F.col("id") == -(1 << 62)).alias("missing"), "id", "th")).alias("least")
-    classes = cut(each.groupBy("sh").agg(least, F.first("size").alias("size"), F.first("first").alias("first")))
-    of = classes.select("sh", F.col("least.id").alias("id"), F.col("least.th").alias("th"))
-    texts = rows.dropDuplicates(["id", "th"]).join(of, ["id", "th"]).select("sh", "text")
-    roots = components(similar_pairs(classes.select("sh", "size", "first"), texts, width, similarity, block))
+    classes = written(each.groupBy("sh").agg(least, F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("first").alias("first")))
+    roots = similar_links(classes.select("sh", "least.id", "least.th", "size", "fp", "first"), rows, width, similarity, block)
     chosen = classes.join(roots, classes.sh == roots.node, "left").groupBy(F.coalesce("root", "sh").alias("root")).agg(F.min("least").alias("s")).select("s.id", "s.th")
     kept = docs.select(F.struct("*").alias("row"), own.alias("id"), th.alias("th")).dropDuplicates(["id", "th"]).join(chosen, ["id", "th"], "left_semi")
     return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
