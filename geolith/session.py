@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -25,17 +26,20 @@ def written(df: DataFrame) -> DataFrame:
     constraints of the rounds before, which a checkpointed frame does, and which grow with each."""
     spark = prepared(df.sparkSession)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop(df: DataFrame) -> None:
-    """Delete a table that `written` gave, once nothing reads it any more."""
+    """Delete a table that `written` gave, once nothing reads it any more. Shuffles of jobs that have ended are kept as long as the driver's
+    collector hasn't seen that their plans are gone; it is told to look, so that a long chain of steps holds the disk of one."""
     spark = df.sparkSession
     files = df.inputFiles()
     if files:
         path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
