@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geolith.llm.common import cut, session, written
+from geolith.llm.common import cut, drop, session, written
 from geolith.llm.components import components
 from geolith.llm.simhash import fingerprint_links
 
@@ -29,7 +29,7 @@ WIDTH, SIMILARITY = 5, 0.8
 #: Bits of a sketch, a multiple of 64; bits that SimHash links differ in at most.
 BITS, RADIUS = 1024, 4
 #: Texts in the sample that the order of the values rests on, about, and values that it ranks; rows that are broadcast at most.
-SAMPLE, RANKED, SMALL = 20_000, 200_000, 200_000
+SAMPLE, RANKED, SMALL = 5_000, 200_000, 200_000
 
 
 def _values(text: bytes | None, width: int) -> np.ndarray:
@@ -144,12 +144,14 @@ def _meet(similarity: float):
 
 
 def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
-    """pairs (a, b) of sets of classes (sh, id, th) whose texts are in rows (id, th, text) -> those that are similar, written."""
+    """pairs (a, b) of sets of classes (sh, id, th, once: no other row has this id and text) whose texts are in rows (id, th, text) -> those
+    that are similar, written."""
     near = cut(pairs.distinct())
     wanted = near.select(F.col("a").alias("sh")).union(near.select(F.col("b").alias("sh"))).distinct()
-    wanted = cut(classes.join(wanted, "sh", "left_semi").select("id", "th", "sh"))
-    wanted = F.broadcast(wanted) if wanted.count() <= SMALL else wanted
-    texts = rows.join(wanted, ["id", "th"]).dropDuplicates(["id", "th"]).select("sh", "text")
+    wanted = cut(classes.join(wanted, "sh", "left_semi").select("id", "th", "sh", "once"))
+    n = wanted.agg(F.count("*"), F.bool_and("once")).first()
+    texts = rows.join(F.broadcast(wanted) if n[0] <= SMALL else wanted, ["id", "th"])
+    texts = (texts if n[1] else texts.dropDuplicates(["id", "th"])).select("sh", "text")
     sets = written(texts.mapInArrow(_sets(width), "sh long, n int, set array<long>, sketch array<long>"))
     drawn = near
     for side in "ab":
@@ -158,7 +160,9 @@ def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int,
     near = cut(drawn.where(bits <= (F.col("na") + F.col("nb")) * ((1 - similarity) / (1 + similarity)) + 1e-6).select("a", "b"))
     both = near.join(sets.select(F.col("sh").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("sh").alias("b"), F.col("set").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return cut(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b"))
+    out = cut(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b"))
+    drop(sets)
+    return out
 
 
 def _first_pairs(classes: DataFrame, met: DataFrame, similarity: float) -> DataFrame:
@@ -182,14 +186,17 @@ def similar_links(classes: DataFrame, rows: DataFrame, width: int, similarity: f
     met = written(every.join(again, "key", "left_semi"))
     first = verified(_first_pairs(classes, met, similarity), classes, rows, width, similarity)
     linked = met.join(components(first), F.col("sh") == F.col("node"), "left").select("key", F.coalesce("root", "sh").alias("root"), "pos", "size", "sh")
-    linked = cut(linked)
+    linked = written(linked)
+    drop(met)
     open_keys = linked.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     open_keys = cut(open_keys.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
     own, other = F.pmod(F.xxhash64("sh"), F.col("blocks")), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = linked.join(open_keys, "key").select("*", own.alias("x"), other.alias("y"))
     dealt = dealt.select(F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y")).alias("key"), "root", "pos", "size", "sh")
     rest = dealt.repartition("key").sortWithinPartitions("key", "root").mapInArrow(_meet(similarity), "a long, b long")
-    return components(first.union(verified(rest, classes, rows, width, similarity)))
+    both = first.union(verified(rest, classes, rows, width, similarity))
+    drop(linked)
+    return components(both)
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, block: int = 4096) -> DataFrame:
@@ -202,8 +209,12 @@ def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY
     each = written(rows.mapInArrow(_prefixes(width, similarity, common_values(rows, width)), "id long, th long, sh long, size int, fp long, first array<long>"))
     # Missing ids come last here: a component keeps one of them only if it has no other.
     least = F.min(F.struct((F.col("id") == -(1 << 62)).alias("missing"), "id", "th")).alias("least")
-    classes = written(each.groupBy("sh").agg(least, F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("first").alias("first")))
-    roots = similar_links(classes.select("sh", "least.id", "least.th", "size", "fp", "first"), rows, width, similarity, block)
+    again = each.groupBy("id", "th").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    classes = each.groupBy("sh").agg(least, F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("first").alias("first"))
+    classes = classes.select("*", "least.id", "least.th").join(again.withColumn("twice", F.lit(True)), ["id", "th"], "left")
+    classes = written(classes.select("sh", "least", "id", "th", "size", "fp", "first", F.col("twice").isNull().alias("once")))
+    drop(each)
+    roots = similar_links(classes, rows, width, similarity, block)
     chosen = classes.join(roots, classes.sh == roots.node, "left").groupBy(F.coalesce("root", "sh").alias("root")).agg(F.min("least").alias("s")).select("s.id", "s.th")
     kept = docs.select(F.struct("*").alias("row"), own.alias("id"), th.alias("th")).dropDuplicates(["id", "th"]).join(chosen, ["id", "th"], "left_semi")
     return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
