@@ -10,7 +10,7 @@ of the texts doesn't hold, and ends with the commonest; it decides the cost, not
 
 Candidates whose sizes or positions rule the similarity out are dropped, and those whose sketches differ in more bits than the sets
 may: a sketch holds the parity of the values under each of BITS numbers, so two sketches differ in no more bits than the sets in
-values. The others are verified on their whole sets.
+values. The others are verified on their whole sets, made anew from the texts, which are shorter to send.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,14 +96,34 @@ def _prefixes(width: int, similarity: float, common: tuple[np.ndarray, np.ndarra
     return run
 
 
-def _sets(width: int):
-    """(sh, text) -> (sh, n, set, sketch)."""
+def _drawn(width: int):
+    """(sh, text) -> (sh, n, sketch, packed: the text, compressed)."""
 
     def run(batches):
+        pack = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            sets = [shingles(t, width) for t in b.column(1).to_pylist()]
+            texts = [t or b"" for t in b.column(1).to_pylist()]
+            sets = [shingles(t, width) for t in texts]
             odd = [np.packbits(np.bincount(s % BITS, minlength=BITS) % 2 == 1).view(np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), _lists(sets), _lists(odd)], ["sh", "n", "set", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), _lists(odd), pa.array([pack.compress(t) for t in texts])], ["sh", "n", "sketch", "packed"])
+
+    return run
+
+
+def _similar(width: int, similarity: float):
+    """(a, b, x, y: packed texts) -> the pairs (a, b) that are similar. Pairs of one text follow each other, so its set is made once."""
+
+    def run(batches):
+        unpack, last, one = zstandard.ZstdDecompressor(), None, None
+        for b in batches:
+            ok = []
+            for name, x, y in zip(*(b.column(k).to_pylist() for k in (0, 2, 3))):
+                if name != last:
+                    last, one = name, shingles(unpack.decompress(x), width)
+                two = shingles(unpack.decompress(y), width)
+                shared = len(np.intersect1d(one, two, assume_unique=True))
+                ok.append(shared >= similarity * (len(one) + len(two) - shared) - 1e-9)
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
@@ -152,15 +173,16 @@ def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int,
     n = wanted.agg(F.count("*"), F.bool_and("once")).first()
     texts = rows.join(F.broadcast(wanted) if n[0] <= SMALL else wanted, ["id", "th"])
     texts = (texts if n[1] else texts.dropDuplicates(["id", "th"])).select("sh", "text")
-    sets = written(texts.mapInArrow(_sets(width), "sh long, n int, set array<long>, sketch array<long>"))
+    sets = written(texts.mapInArrow(_drawn(width), "sh long, n int, sketch array<long>, packed binary"))
     drawn = near
     for side in "ab":
         drawn = drawn.join(sets.select(F.col("sh").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
     bits = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     near = cut(drawn.where(bits <= (F.col("na") + F.col("nb")) * ((1 - similarity) / (1 + similarity)) + 1e-6).select("a", "b"))
-    both = near.join(sets.select(F.col("sh").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("sh").alias("b"), F.col("set").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    out = cut(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b"))
+    # The second text of a pair is often in no other pair, the first in many: it is brought last, to pairs in its order.
+    both = near.join(sets.select(F.col("sh").alias("b"), F.col("packed").alias("y")), "b")
+    both = both.join(sets.select(F.col("sh").alias("a"), F.col("packed").alias("x")).hint("merge"), "a").select("a", "b", "x", "y")
+    out = cut(both.mapInArrow(_similar(width, similarity), "a long, b long"))
     drop(sets)
     return out
 
