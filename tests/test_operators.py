@@ -198,3 +198,24 @@ def test_streams(spark, tmp_path):
     q = ingest.windowed_counts(stream, "ts", "10 seconds", "0 seconds").writeStream.format("memory").queryName("windows").outputMode("append").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert 0 < spark.sql("SELECT sum(n) FROM windows").first()[0] <= 80
+
+
+def test_many_masses_keep_their_evidence(spark):
+    """Groups whose products would vanish: as the rule applied in turn, normalised at each step."""
+    mass = {"a": (0.5, 0.2, 0.3), "b": (0.2, 0.2, 0.6), "c": (1.0, 0.0, 0.0)}
+    rows = [(k, *m) for k, m in mass.items() for _ in range(5000)] + [("d", 1.0, 0.0, 0.0), ("d", 0.0, 1.0, 0.0)]
+    got = {r["k"]: (r["e"], r["o"], r["u"]) for r in fusion.fuse(spark.createDataFrame(rows, "k string, e double, o double, u double"), ["k"]).collect()}
+    for k, m in mass.items():
+        e, o, u = m
+        for _ in range(4999):
+            a, b, c = e * m[0] + e * m[2] + u * m[0], o * m[1] + o * m[2] + u * m[1], u * m[2]
+            e, o, u = (x / (a + b + c) for x in (a, b, c))
+        assert got[k] == pytest.approx((e, o, u), abs=1e-9)
+    assert got["d"] == (0.0, 0.0, 1.0)
+
+
+def test_queries_in_blocks(spark):
+    rows = [(k, [float(k * 37 % 101), float(k * 53 % 97)]) for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    one, many = (sorted(map(tuple, knn.knn_of_queries(df, df.where("id % 3 = 0"), 4, "id", "v", b).collect())) for b in (2000, 6))
+    assert one == many and len(one) == 80
