@@ -29,8 +29,10 @@ from geolith.llm.simhash import fingerprint_links
 WIDTH, SIMILARITY = 5, 0.8
 #: Bits of a sketch, a multiple of 64; bits that SimHash links differ in at most.
 BITS, RADIUS = 1024, 4
-#: Texts in the sample that the order of the values rests on, about, and values that it ranks; rows that are broadcast at most.
-SAMPLE, RANKED, SMALL = 5_000, 200_000, 200_000
+#: Texts that a text is first compared with.
+LEADERS = 8
+#: Share of the texts that the order of the values rests on, and values that it ranks at most; rows that are broadcast at most.
+SAMPLE, RANKED, SMALL = 0.1, 1_000_000, 200_000
 
 
 def _values(text: bytes | None, width: int) -> np.ndarray:
@@ -65,8 +67,7 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 def common_values(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """rows (th, text) -> the values that three texts of a sample have at least, in order, and in how many: RANKED of them at most."""
-    share = (SAMPLE << 20) // max(rows.count(), 1)
-    some = rows.where(F.pmod(F.xxhash64("th"), F.lit(1 << 20)) < share)
+    some = rows.where(F.pmod(F.xxhash64("th"), F.lit(1 << 20)) < int(SAMPLE * (1 << 20)))
 
     def run(batches):
         for b in batches:
@@ -188,15 +189,20 @@ def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int,
 
 
 def _first_pairs(classes: DataFrame, met: DataFrame, similarity: float) -> DataFrame:
-    """Few pairs that link most of what is linked: SimHash links, and each text with the least text of about its size under a value."""
+    """Few pairs that link most of what is linked: of each text the least that SimHash links it with, and those that lead the texts of about its
+    size under most of its values. They are LEADERS + 2 for each text at most; what they don't link is searched for afterwards."""
     of_fp = classes.groupBy("fp").agg(F.min("sh").alias("rep"))
     alike = classes.join(of_fp, "fp").where("sh <> rep").select(F.col("rep").alias("a"), F.col("sh").alias("b"))
     links = fingerprint_links(of_fp.select("fp"), RADIUS)
     rep = lambda side: of_fp.select(F.col("fp").alias(side), F.col("rep").alias(f"r{side}"))
     links = links.distinct().join(rep("a"), "a").join(rep("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     sized = met.withColumn("band", F.floor(-F.log("size") / F.log(F.lit(similarity))).cast("int"))
-    least = sized.groupBy("key", "band").agg(F.min("sh").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    star = sized.join(least, ["key", "band"]).where("sh <> least").select(F.col("least").alias("a"), F.col("sh").alias("b"))
+    # A leader for each value and size, another one for the next: what one is just not similar to, the next may be.
+    least = sized.groupBy("key", "band").agg(F.min(F.struct(F.xxhash64("key", "sh").alias("o"), "sh")).alias("m"), F.count("*").alias("n")).where("n > 1").select("key", "band", F.col("m.sh").alias("least"))
+    star = sized.join(least, ["key", "band"]).where("sh <> least").groupBy("sh", "least").agg(F.count("*").alias("n"))
+    star = star.groupBy("sh").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "least")), False), 1, LEADERS).alias("m"))
+    star = star.select(F.explode("m.least").alias("a"), F.col("sh").alias("b"))
+    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     return alike.union(links).union(star).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
