@@ -7,6 +7,9 @@ the Dice coefficient is at most 2 min(a, b) / (a + b), so a template is compared
 bigrams is between b * t / (2 - t) and b * (2 - t) / t at threshold t. All of it is column expressions
 within a row: nothing is joined, shuffled or exploded.
 
+A passage that reaches t shares at least b * t / (2 - t) bigrams with the template, so it lacks few of the template's words,
+and a text that lacks more has no such passage: only the others are cut into passages.
+
 Windows are looked for only in texts that hold enough different bigrams of the template, and only where enough of them are
 near. Of windows of one template that overlap, the one with the highest coefficient counts (then the first); a window
 within one of a longer template doesn't count.
@@ -14,8 +17,10 @@ within one of a longer template doesn't count.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +51,17 @@ def bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
 
 
+def least_words(text: str, threshold: float) -> int:
+    """How many of a template's different words a passage that reaches the threshold has at least.
+
+    It lacks at most m of the bigrams. A word is missing only if all bigrams it is in are, and a bigram is in the way of two words at most."""
+    grams = [g.split() for g in bigrams(text)]
+    lacks = 2 * (len(grams) - math.ceil(len(grams) * threshold / (2 - threshold) - 1e-9))
+    times = sorted(Counter(w for g in grams for w in set(g)).values())
+    missing = sum(upto <= lacks for upto in itertools.accumulate(times))
+    return max(len(times) - missing, 1)
+
+
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, license (of the passage nearest to a template; null if none reaches the
     threshold), dice (null likewise), n_matches (different passages that reach it): one row per row of docs.
@@ -98,14 +114,20 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
         return F.array_max(F.array(*of)) if len(of) > 1 else of[0]
 
     text = F.coalesce(F.col("text"), F.lit(""))
+    terms = {name: list(dict.fromkeys(words_of(t))) for name, t in (templates or TEMPLATES).items()}
+    known = F.array(*map(F.lit, dict.fromkeys(w for t in terms.values() for w in t)))
+    close = lambda seen: F.array(*[F.size(F.array_intersect(seen, F.array(*map(F.lit, terms[name])))) >= least_words(t, threshold) for name, t in (templates or TEMPLATES).items()])
+    base = docs.select("doc_id", text.alias("text"), normal(text).alias("w"))
+    base = base.select("*", F.array_contains(bound(F.array_intersect("w", known), close), True).alias("near"))
     some = list(dict.fromkeys(x for g in grams.values() for x in g))
     every = lambda w: F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
     of = lambda b, seen: F.concat(*[windows(b, seen, grams[name], n) for name, n in lengths.items()])
     inside = lambda x, y: (y["stop"] - y["start"] > x["stop"] - x["start"]) & (y["start"] <= x["start"]) & (x["stop"] <= y["stop"])
     outer = lambda ws: F.transform(F.filter(ws, lambda x: ~F.exists(ws, lambda y: inside(x, y))), lambda x: x["p"])
     none = F.array().cast("array<array<string>>")
-    runs = bound(normal(text), lambda w: F.when(F.size(w) < 2, none).otherwise(bound(every(w), lambda b: bound(F.array_intersect(b, F.array(*map(F.lit, some))), lambda seen: F.when(F.size(seen) < least, none).otherwise(bound(of(b, seen), outer))))))
-    out = docs.select("doc_id", runs.alias("runs"), F.array_distinct(F.concat(F.array(text), F.split(text, r"\n[ \t\r]*\n"), F.split(text, "\n"))).alias("p"))
+    runs = bound(F.col("w"), lambda w: F.when(~F.col("near") | (F.size(w) < 2), none).otherwise(bound(every(w), lambda b: bound(F.array_intersect(b, F.array(*map(F.lit, some))), lambda seen: F.when(F.size(seen) < least, none).otherwise(bound(of(b, seen), outer))))))
+    passages = F.array_distinct(F.concat(F.array("text"), F.split("text", r"\n[ \t\r]*\n"), F.split("text", "\n")))
+    out = base.select("doc_id", runs.alias("runs"), F.when(F.col("near"), passages).otherwise(F.array().cast("array<string>")).alias("p"))
     out = out.select("doc_id", "runs", F.transform("p", normal).alias("p"))
     # There are no more bigrams than words less one, and no fewer than different words less one.
     out = out.select("doc_id", "runs", F.filter("p", lambda w: (F.size(w) - 1 >= low) & (F.size(w) >= 2)).alias("p"))

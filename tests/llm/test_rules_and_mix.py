@@ -304,3 +304,13 @@ def test_pack_keeps_copies_apart(spark):
     for r in got:
         bins[r["bin_id"]].append(r["doc_id"])
     assert all(sum(d < 12 for d in ds) <= 1 for ds in bins.values()) and len(bins) == 12
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abcdefg"), min_size=2, max_size=14), st.data())
+def test_least_words_is_a_bound(template, data):
+    """However a passage of a template's bigrams reaches the threshold, it has so many of its words."""
+    grams = license_scan.bigrams(" ".join(template))
+    need = -(-len(grams) * 2 // 3)  # 0.8 / (2 - 0.8)
+    kept = data.draw(st.lists(st.sampled_from(grams), min_size=need, max_size=len(grams), unique=True))
+    assert len({w for g in kept for w in g.split()}) >= license_scan.least_words(" ".join(template), 0.8)
