@@ -129,6 +129,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out) -> DataFrame:
     score (0 to 1), predicted (score >= 0.5), one row per row of docs.
 
     Only labels of rows that are not held out are learnt; several labels of an id are averaged, null ones ignored.
+    Of rows that share an id the machine learns the one of the least text hash, so reruns agree; repeated rows are scored alike. Long texts
+    count whole, a score of 0.5 is predicted 1, other columns are ignored whatever their names.
     Null and empty texts have no terms: their score is the base rate's. A null id is not held out and has no label.
     No labels: every score is 0.5. An empty table gives no rows.
     """
@@ -146,11 +148,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out) -> DataFrame:
     def lists(batches):
         for b in batches:
             got = _slots_of(b.column(0).to_pylist(), chosen)
-            yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.int32())), b.column(1), b.column(2)], ["ids", "y", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.int32())), *b.columns[1:]], ["ids", "y", "key", "th"])
 
-    keyed = train.select("text", "y", F.xxhash64("doc_id").alias("key"))
-    rows = keyed.mapInArrow(lists, "ids array<int>, y double, key long")
-    rows = rows.dropDuplicates(["key"]).toArrow().sort_by("key")
+    keyed = train.select("text", "y", F.xxhash64("doc_id").alias("key"), F.xxhash64("text").alias("th"))
+    rows = keyed.mapInArrow(lists, "ids array<int>, y double, key long, th long")
+    # One row for each id, the same in every run: that of the least hash of its text.
+    rows = rows.groupBy("key").agg(F.min(F.struct("th", "ids", "y")).alias("m")).select("key", "m.ids", "m.y").toArrow().sort_by("key")
     if rows.num_rows:
         ids = rows["ids"].combine_chunks()
         model = Machine(len(chosen)).fit(ids.flatten().to_numpy(), ids.offsets.to_numpy(), rows["y"].to_numpy())

@@ -71,3 +71,13 @@ def test_features_approximate_the_kernel():
     phi = f(x)[:, 1:]
     want = np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / (2 * quality_model.DIM * quality_model.WIDTH**2))
     assert np.abs(phi @ phi.T - want).max() < 0.3
+
+
+def test_repeated_ids_fit_alike(spark):
+    """Rows that share an id and differ in text: the fit doesn't depend on which comes first."""
+    docs = spark.createDataFrame([(k % 40, f"{'vile' if k % 3 else 'mild'} word{k % 7} other{k}") for k in range(160)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(40)], "doc_id long, toxic int")
+    held = F.col("doc_id") % 5 == 0
+    ways = (docs.coalesce(1), docs.repartition(6), docs.orderBy(F.desc("text")))
+    got = [sorted(map(tuple, toxicity.toxicity_scores(d.select("doc_id", "text"), labels, held).join(docs.select("doc_id").distinct(), "doc_id").collect())) for d in ways]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 160
