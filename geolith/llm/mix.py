@@ -81,8 +81,8 @@ def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, most
     how often the mix takes the row, 0 to `most`), one row per row of docs.
 
     A size is the number of words (null text: 0). Rows with null source are a source of their own, the last.
-    Rows of the same id and text share a ticket: beyond whole passes they are taken together or not at all,
-    then staying below the budget. Long texts count as a whole. Columns of docs may have any names. Empty texts are taken in proportion and change nothing. Only one row
+    Rows of the same id and text share a ticket: where the last document that is taken of a length is one of them, as many of them
+    are taken as are needed, whichever they are. Long texts count as a whole. Columns of docs may have any names. Empty texts are taken in proportion and change nothing. Only one row
     for each source reaches the driver: the targets are a parameter table of that size. An
     empty table gives no rows.
     """
@@ -113,17 +113,38 @@ def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, most
     bins = rows.groupBy("s", "z", "take", "bin").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(Window.partitionBy("s", "z").orderBy("bin")))
     edge = bins.where("upto >= take and upto - n < take").select(F.col("s").alias("es"), F.col("z").alias("ez"), F.col("bin").alias("eb"), (F.col("take") - F.col("upto") + F.col("n")).alias("need"))
     inner = rows.join(edge, F.col("s").eqNullSafe(F.col("es")) & (F.col("z") == F.col("ez")) & (F.col("bin") == F.col("eb")))
-    inner = inner.withColumn("rank", F.count("*").over(Window.partitionBy("s", "z").orderBy("ticket")))
-    last = inner.groupBy("s", "z").agg(F.max(F.when(F.col("rank") <= F.col("need"), F.col("ticket"))).alias("t"), (F.shiftleft(F.max("bin"), 52) - 1).alias("below"))
-    last = last.select(F.col("s").alias("ls"), F.col("z").alias("lz"), F.coalesce("t", "below").alias("last"))
-    lowest, highest = F.lit(-(1 << 63)), F.lit((1 << 63) - 1)
+    inner = inner.groupBy("s", "z", "need", "bin", "ticket").agg(F.count("*").alias("n"))
+    inner = inner.withColumn("rank", F.sum("n").over(Window.partitionBy("s", "z").orderBy("ticket")))
+    whole = F.col("rank") <= F.col("need")
+    below = F.when(F.max("bin") > -2048, F.shiftleft(F.max("bin"), 52) - 1)
+    some = F.max("need") - F.coalesce(F.max(F.when(whole, F.col("rank"))), F.lit(0))
+    last = inner.groupBy("s", "z").agg(F.coalesce(F.max(F.when(whole, F.col("ticket"))), below).alias("last"), F.min(F.when(~whole, F.col("ticket"))).alias("next"), some.alias("some"))
+    last = last.select(F.col("s").alias("ls"), F.col("z").alias("lz"), "last", F.when(F.col("some") > 0, F.col("next")).alias("split"), "some")
     quota = quota.join(last, F.col("source").eqNullSafe(F.col("ls")) & (F.col("size") == F.col("lz")), "left")
-    upto = F.when(F.col("take") >= F.col("count"), highest).when(F.col("take") > 0, F.coalesce("last", lowest))
-    quota = cut(quota.select(F.col("source").alias("s"), F.col("size").alias("z"), "source_size", "target", "passes", upto.alias("last")))
+    upto = F.when(F.col("take") >= F.col("count"), F.lit((1 << 63) - 1)).when(F.col("take") > 0, F.col("last"))
+    quota = cut(quota.select(F.col("source").alias("s"), F.col("size").alias("z"), "source_size", "target", "passes", upto.alias("last"), "split", "some"))
     # One row for each source and length: it goes to the rows as long as it is small, so that no text is shuffled.
-    out = sized.join(F.broadcast(quota) if quota.count() <= SMALL else quota, of_length)
-    times = F.col("passes") + F.coalesce((F.col("ticket") <= F.col("last")).cast("long"), F.lit(0))
-    return out.select("row", "size", "source_size", "target", times.alias("times"))
+    n, parted = quota.agg(F.count("*"), F.count("split")).first()
+    out = sized.join(F.broadcast(quota) if n <= SMALL else quota, of_length)
+    once = out.withColumn("more", F.coalesce(F.col("ticket") <= F.col("last"), F.lit(False)))
+    if parted:
+        split = F.col("ticket").eqNullSafe(F.col("split"))
+        once = once.where(~split).union(_some(out.where(split)))
+    return once.select("row", "size", "source_size", "target", (F.col("passes") + F.col("more").cast("long")).alias("times"))
+
+
+def _some(rows: DataFrame) -> DataFrame:
+    """rows that share their source's and length's one ticket to be parted (s, z, some, ...) -> the same with more: true for `some` of each. They are
+    numbered by where they lie: only the partition in which the last one is taken is ranked, so no task gets them all."""
+    rows = cut(rows.withColumn("at", F.monotonically_increasing_id()))
+    own = rows.select("s", "z", "some", F.shiftright("at", 33).alias("p"), "at")
+    parts = own.groupBy("s", "z", "some", "p").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(Window.partitionBy("s", "z").orderBy("p")))
+    edge = parts.where("upto >= some and upto - n < some").select(F.col("s").alias("es"), F.col("z").alias("ez"), F.col("p").alias("ep"), (F.col("some") - F.col("upto") + F.col("n")).alias("need"))
+    inner = own.join(edge, F.col("s").eqNullSafe(F.col("es")) & (F.col("z") == F.col("ez")) & (F.col("p") == F.col("ep")))
+    inner = inner.withColumn("rank", F.row_number().over(Window.partitionBy("s", "z").orderBy("at"))).where("rank = need")
+    end = cut(inner.select("es", "ez", F.col("at").alias("end")))
+    found = rows.join(F.broadcast(end) if end.count() <= SMALL else end, F.col("s").eqNullSafe(F.col("es")) & (F.col("z") == F.col("ez")))
+    return found.withColumn("more", F.col("at") <= F.col("end")).drop("at", "es", "ez", "end")
 
 
 def mix_table(docs: DataFrame, seed: int = 7) -> DataFrame:

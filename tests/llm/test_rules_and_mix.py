@@ -233,6 +233,26 @@ def test_mix_picks_by_ticket_within_a_length(spark):
         assert abs(sum(r["taken"] for r in got if (r["doc_id"] < 900) == (source == "s")) - goal) <= 5
 
 
+def test_mix_takes_the_least_tickets(spark):
+    """One of 5000 documents is taken, so the edge is where tickets are least."""
+    rows = [(k, "a b c d e", "en", "s" if k < 5000 else "t") for k in range(10000)]
+    for seed in range(3):
+        got = mix.mix(frame(spark, rows), seed, weights=(1, 9999)).groupBy("row.source").agg(F.sum("times")).collect()
+        assert sorted(map(tuple, got)) == [("s", 1), ("t", 9999)]
+
+
+def test_mix_parts_repeated_rows(spark):
+    """Repeated rows count one by one: a source of them alone meets its target as nearly as whole rows can."""
+    rows = [(1, "a b c d e", "en", "s")] * 700 + [(2, "f g h", "en", "s")] * 50 + [(k, "a b c d e", "en", "t") for k in range(10, 310)]
+    rows += [(None, None, "en", "t")] * 9 + [(None, "x y", "en", None)] * 400
+    df = frame(spark, rows)
+    goal = mix.targets({"s": 3650, "t": 1500, None: 800})
+    for at in (df, df.repartition(5), df.coalesce(1)):
+        got = mix.mix_table(at)
+        taken = {r[0]: r[1] for r in got.groupBy("target").agg(F.sum("taken")).collect()}
+        assert got.count() == len(rows) and all(abs(taken[t] - t) <= 2 for t in goal.values())
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 20), st.sampled_from("abcd"), st.integers(0, 6)), max_size=60))
 def test_best_fit_against_plain(items):
