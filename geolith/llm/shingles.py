@@ -10,7 +10,7 @@ of the texts doesn't hold, and ends with the commonest; it decides the cost, not
 
 Candidates whose sizes or positions rule the similarity out are dropped, and those whose sketches differ in more bits than the sets
 may: a sketch holds the parity of the values under each of BITS numbers, so two sketches differ in no more bits than the sets in
-values. The others are verified on their whole sets, made anew from the texts, which are shorter to send.
+values. Short sketches are compared where texts meet, before there is a row for the pair, the others after that. What is left is verified on the whole sets, made anew from the texts, which are shorter to send.
 """
 
 from __future__ import annotations
@@ -27,8 +27,10 @@ from geolith.llm.components import components
 from geolith.llm.simhash import fingerprint_links
 
 WIDTH, SIMILARITY = 5, 0.8
-#: Bits of a sketch, a multiple of 64; bits that SimHash links differ in at most.
-BITS, RADIUS = 1024, 4
+#: Bits of a sketch, and of the short one that texts are looked for with, multiples of 64; bits that SimHash links differ in at most.
+BITS, SHORT, RADIUS = 1024, 256, 4
+#: The columns of a short sketch.
+PARTS = [f"k{k}" for k in range(SHORT // 64)]
 #: Texts that a text is first compared with.
 LEADERS = 8
 #: Share of the texts that the order of the values rests on, and values that it ranks at most; rows that are broadcast at most.
@@ -65,6 +67,10 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
 
 
+def _sketch(values: np.ndarray, bits: int) -> np.ndarray:
+    return np.packbits(np.bincount(values % bits, minlength=bits) % 2 == 1).view(np.int64)
+
+
 def common_values(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """rows (th, text) -> the values that three texts of a sample have at least, in order, and in how many: RANKED of them at most."""
     some = rows.where(F.pmod(F.xxhash64("th"), F.lit(1 << 20)) < int(SAMPLE * (1 << 20)))
@@ -78,7 +84,7 @@ def common_values(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(width: int, similarity: float, common: tuple[np.ndarray, np.ndarray]):
-    """(id, th, text) -> (id, th, sh: a hash of the set, size, fp, first: the values under which the text is looked for)."""
+    """(id, th, text) -> (id, th, sh: a hash of the set, size, fp, short: a sketch, first: the values under which the text is looked for)."""
     known, times = (np.append(x, y) for x, y in zip(common, (np.iinfo(np.int64).max, 0)))
 
     def first(s: np.ndarray) -> np.ndarray:
@@ -91,8 +97,8 @@ def _prefixes(width: int, similarity: float, common: tuple[np.ndarray, np.ndarra
             values = [_values(t, width) for t in b.column(2).to_pylist()]
             sets = [np.unique(v) for v in values]
             sh = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64))
-            cols = [b.column(0), b.column(1), sh, pa.array([len(s) for s in sets], pa.int32()), pa.array([_majority(v) for v in values], pa.int64()), _lists([first(s) for s in sets])]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "th", "sh", "size", "fp", "first"])
+            cols = [b.column(0), b.column(1), sh, pa.array([len(s) for s in sets], pa.int32()), pa.array([_majority(v) for v in values], pa.int64()), _lists([_sketch(s, SHORT) for s in sets]), _lists([first(s) for s in sets])]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "th", "sh", "size", "fp", "short", "first"])
 
     return run
 
@@ -105,7 +111,7 @@ def _drawn(width: int):
         for b in batches:
             texts = [t or b"" for t in b.column(1).to_pylist()]
             sets = [shingles(t, width) for t in texts]
-            odd = [np.packbits(np.bincount(s % BITS, minlength=BITS) % 2 == 1).view(np.int64) for s in sets]
+            odd = [_sketch(s, BITS) for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), _lists(odd), pa.array([pack.compress(t) for t in texts])], ["sh", "n", "sketch", "packed"])
 
     return run
@@ -130,9 +136,9 @@ def _similar(width: int, similarity: float):
 
 
 def _meet(similarity: float):
-    """(key, root, pos, size, sh) in order of key and root -> candidates (a, b) of different roots. A key's rows may span batches."""
+    """(key, root, pos, size, sh, *PARTS) in order of key and root -> candidates (a, b) of different roots. A key's rows may span batches."""
 
-    def solve(key, root, pos, size, sh):
+    def solve(key, root, pos, size, sh, *short):
         new = np.append(np.flatnonzero(np.diff(key)) + 1, len(key))
         end = np.repeat(new, np.diff(np.append(0, new)))
         same = np.append(np.flatnonzero((np.diff(key) != 0) | (np.diff(root) != 0)) + 1, len(key))
@@ -142,8 +148,11 @@ def _meet(similarity: float):
             o = other[row]
             shared = np.ceil((size[row].astype(np.int64) + size[o]) * (similarity / (1 + similarity)) - 1e-9)
             ok = np.minimum(size[row] - pos[row], size[o] - pos[o]) >= shared
+            x, y = row[ok], o[ok]
+            bits = sum(np.bitwise_count((k[x] ^ k[y]).view(np.uint64)).astype(np.int64) for k in short)
+            ok = bits <= (size[x].astype(np.int64) + size[y]) * ((1 - similarity) / (1 + similarity)) + 1e-6
             if ok.any():
-                out.append((sh[row[ok]], sh[o[ok]]))
+                out.append((sh[x[ok]], sh[y[ok]]))
             other[row] += 1
         a, b = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -153,7 +162,7 @@ def _meet(similarity: float):
         for b in batches:
             if not b.num_rows:
                 continue
-            now = [b.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
+            now = [b.column(k).to_numpy(zero_copy_only=False) for k in range(b.num_columns)]
             held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
             last = int(np.searchsorted(held[0], held[0][-1]))
             if last:
@@ -207,20 +216,20 @@ def _first_pairs(classes: DataFrame, met: DataFrame, similarity: float) -> DataF
 
 
 def similar_links(classes: DataFrame, rows: DataFrame, width: int, similarity: float, block: int = 4096) -> DataFrame:
-    """classes (sh, id, th, size, fp, first), one row for each set, and rows (id, th, text) -> (node, root): the components of
+    """classes (sh, id, th, size, fp, short, first), one row for each set, and rows (id, th, text) -> (node, root): the components of
     similar sets. Values with more than `block` sets are dealt out as pairs of blocks, so no task gets them whole."""
     every = classes.select("sh", "size", F.posexplode("first").alias("pos", "key"))
     again = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     met = written(every.join(again, "key", "left_semi"))
     first = verified(_first_pairs(classes, met, similarity), classes, rows, width, similarity)
-    linked = met.join(components(first), F.col("sh") == F.col("node"), "left").select("key", F.coalesce("root", "sh").alias("root"), "pos", "size", "sh")
-    linked = written(linked)
+    nodes = classes.select("sh", *(F.col("short")[k].alias(c) for k, c in enumerate(PARTS))).join(components(first), F.col("sh") == F.col("node"), "left")
+    linked = written(met.join(nodes.select("sh", F.coalesce("root", "sh").alias("root"), *PARTS), "sh").select("key", "root", "pos", "size", "sh", *PARTS))
     drop(met)
     open_keys = linked.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     open_keys = cut(open_keys.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
     own, other = F.pmod(F.xxhash64("sh"), F.col("blocks")), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = linked.join(open_keys, "key").select("*", own.alias("x"), other.alias("y"))
-    dealt = dealt.select(F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y")).alias("key"), "root", "pos", "size", "sh")
+    dealt = dealt.select(F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y")).alias("key"), "root", "pos", "size", "sh", *PARTS)
     rest = dealt.repartition("key").sortWithinPartitions("key", "root").mapInArrow(_meet(similarity), "a long, b long")
     both = first.union(verified(rest, classes, rows, width, similarity))
     drop(linked)
@@ -234,13 +243,13 @@ def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY
     session(docs.sparkSession)
     own, th = F.coalesce(F.col("doc_id").try_cast("long"), F.lit(-(1 << 62))), F.xxhash64("text")
     rows = docs.select(own.alias("id"), th.alias("th"), F.col("text").cast("binary").alias("text"))
-    each = written(rows.mapInArrow(_prefixes(width, similarity, common_values(rows, width)), "id long, th long, sh long, size int, fp long, first array<long>"))
+    each = written(rows.mapInArrow(_prefixes(width, similarity, common_values(rows, width)), "id long, th long, sh long, size int, fp long, short array<long>, first array<long>"))
     # Missing ids come last here: a component keeps one of them only if it has no other.
     least = F.min(F.struct((F.col("id") == -(1 << 62)).alias("missing"), "id", "th")).alias("least")
     again = each.groupBy("id", "th").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    classes = each.groupBy("sh").agg(least, F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("first").alias("first"))
+    classes = each.groupBy("sh").agg(least, F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("short").alias("short"), F.first("first").alias("first"))
     classes = classes.select("*", "least.id", "least.th").join(again.withColumn("twice", F.lit(True)), ["id", "th"], "left")
-    classes = written(classes.select("sh", "least", "id", "th", "size", "fp", "first", F.col("twice").isNull().alias("once")))
+    classes = written(classes.select("sh", "least", "id", "th", "size", "fp", "short", "first", F.col("twice").isNull().alias("once")))
     drop(each)
     roots = similar_links(classes, rows, width, similarity, block)
     chosen = classes.join(roots, classes.sh == roots.node, "left").groupBy(F.coalesce("root", "sh").alias("root")).agg(F.min("least").alias("s")).select("s.id", "s.th")
