@@ -70,6 +70,14 @@ def test_tiles_hold_the_whole_triangulation(shell):
     assert (n[0], n[1], n[2]) == (len(p), len(faces), len(want))
 
 
+def test_tiles_are_not_brought_to_one_task(spark, shell):
+    """Tiles have few bytes and much work: each task has few of them, whatever Spark may coalesce."""
+    _, _, r = shell
+    places = r.points.select("tile", F.col("tile").alias("owner"), "pid", "x", "y", "z").checkpoint()
+    cells = triangulation.local_delaunay(places, 1e-6).select("tile", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len({c["tile"] for c in cells}) > 2 and len({c["task"] for c in cells}) > len({c["tile"] for c in cells}) // 2
+
+
 def test_crown_and_active_cells(spark, shell):
     p, _, r = shell
     boxes = tiling.bounding_boxes(r.points, "tile").where("tile is not null").drop("n")
