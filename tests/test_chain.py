@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from geolith.operators import cells as volume
-from geolith.operators import factors, labelling, lod, scoring, tiling, triangulation
-from geolith.plans.reconstruction import Settings, load, mesh, reconstruct, save
+from geolith.operators import factors, labelling, lod, scoring, surface, tiling, triangulation
+from geolith.plans import evidence
+from geolith.plans.reconstruction import Settings, load, mesh, name, reconstruct, save
 from geolith.schema import Box
 from geolith.sources import meshes
 
@@ -163,6 +164,47 @@ def test_tiles_that_share_a_cell_agree(spark):
     assert log[-1][1] == 0 and got[0, "s"] == got[1, "s"] == 0 and got[0, "a"] == 1 and got[1, "b"] == 0
 
 
+@pytest.fixture(scope="module")
+def ball(spark):
+    """Points in eight tiles, some at one place, and the cells of all tiles."""
+    rng = np.random.default_rng(5)
+    p = rng.random((400, 3))
+    p[200:205] = p[:5]
+    tile = (np.floor(p * 2) @ [4, 2, 1]).astype(int)
+    df = spark.createDataFrame(pd.DataFrame({"pid": rng.permutation(400), "tile": tile} | {a: p[:, i] for i, a in enumerate("xyz")}))
+    extremes = tiling.extreme_points(df, ["pid"], "tile").select("pid")
+    return df, *triangulation.distributed_delaunay(df, extremes, 1e-6, centres=True)
+
+
+def test_tiles_add_points_to_the_cells_they_have(spark, ball):
+    df, cells, sent = ball
+    one = {tuple(c) for c in triangulation.single_tile(df.toPandas(), 1e-6).tolist()}
+    rows = triangulation.main_cells(cells).collect()
+    assert len(sent) > 2 and len(rows) == len(one) and {tuple(r["pids"]) for r in rows} == one
+    p = df.toPandas().set_index("pid")[["x", "y", "z"]]
+    assert all(np.allclose(p.loc[r["pids"]].mean(), [r["cx"], r["cy"], r["cz"]]) for r in rows[::50])
+    assert triangulation.missing_in_tiles(cells).count() == 0
+
+
+def test_tiles_agree_alike_by_facet_tables_and_by_meshes(spark, ball):
+    own = ball[1].where(F.array_contains("owners", F.col("tile")))
+    costs = evidence.scored(own)
+    found, _, log = labelling.agree_on(labelling.mesh_problem(costs, 0.1), 0.2, 15)
+    plain, _, same = labelling.agree(costs.withColumn("cell", name(F.col("pids"))).drop("pids"), evidence.cell_facets(own, 0.1), 0.2, 15)
+    assert log == same and log[0][1] > 0
+    assert sorted((r["tile"], "-".join(map(str, r["cell"])), r["label"]) for r in found.collect()) == sorted((r["tile"], r["cell"], r["label"]) for r in plain.collect())
+
+
+def test_surface_of_a_cut_is_that_of_its_facet_table(spark, ball):
+    cells = triangulation.local_delaunay(ball[0].withColumns({"tile": F.lit(0).cast("long"), "owner": F.lit(0).cast("long")}), 1e-6, centres=True)
+    cut = labelling.cut_meshes(evidence.scored(cells), 0.1).checkpoint()
+    plain = labelling.cut_tiles(evidence.scored(cells).withColumn("cell", name(F.col("pids"))).drop("pids", "owners"), evidence.cell_facets(cells, 0.1)).checkpoint()
+    assert {("-".join(map(str, r["pids"])), r["label"]) for r in cut.collect()} == {(r["cell"], r["label"]) for r in plain.collect()}
+    sides = triangulation.facet_table(cells).select("facet", name(F.col("cells")[0]).alias("a"), F.when(F.size("cells") > 1, name(F.get("cells", F.lit(1)))).alias("b"))
+    want = sorted(tuple(r["facet"]) for r in surface.surface_facets(sides, plain).collect())
+    assert want and sorted(tuple(p for i, p in enumerate(r["pids"]) if i != k) for r in cut.collect() for k in r["open"]) == want
+
+
 def test_cloud_files_convert(spark, tmp_path):
     p = pd.DataFrame({"x": [0.123, 2.345], "y": [4.567, 6.789], "z": [8.901, 0.123]})
     for kind in ("ply", "pcd", "xyz", "a3d"):
